@@ -7,13 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import mixing, tokenizing
+from papyrine.llm import lookalikes, mixing, spans, splitting, tokenizing
+from papyrine.llm.corpus import texts
 from papyrine.plans.session import bound_arrow_batches
 from papyrine.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    bound_arrow_batches(spark)
+    return lookalikes.same_looking(texts(spark, folder), lookalikes.model(table(spark, folder, "lang_samples")))
+
+
+def p1_text(spark: SparkSession, folder: str) -> DataFrame:
+    bound_arrow_batches(spark)
+    return lookalikes.normalize(texts(spark, folder), ["tbl", "id"], "text", lookalikes.model(table(spark, folder, "lang_samples")))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    bound_arrow_batches(spark)
+    made = splitting.pieces(table(spark, folder, "chunks"), table(spark, folder, "chunk_options"))
+    return made.filter("oversized AND piece_no = 0").select("chunk_id").distinct()
+
+
+def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    bound_arrow_batches(spark)
+    return splitting.pieces(table(spark, folder, "chunks").dropDuplicates(["chunk_id"]), table(spark, folder, "chunk_options"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     bound_arrow_batches(spark)
     return tokenizing.encode(table(spark, folder, "documents"))
@@ -37,9 +59,30 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(p9_mix(spark, folder), table(spark, folder, "mix_targets"))
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    bound_arrow_batches(spark, 500, 4)
+    return spans.shared_spans(table(spark, folder, "documents"))
+
+
+def p10_share(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.shared_share(table(spark, folder, "documents"), p10_found(spark, folder))
+
+
 def queries() -> dict[str, Query]:
     """All queries, by name."""
-    return {"p8_ids": p8_ids, "p8_offsets": p8_offsets, "p8_decoded": p8_decoded, "p9_mix": p9_mix, "p9_shares": p9_shares}
+    return {
+        "p1_found": p1_found,
+        "p1_text": p1_text,
+        "p2_found": p2_found,
+        "p2_pieces": p2_pieces,
+        "p8_ids": p8_ids,
+        "p8_offsets": p8_offsets,
+        "p8_decoded": p8_decoded,
+        "p9_mix": p9_mix,
+        "p9_shares": p9_shares,
+        "p10_found": p10_found,
+        "p10_share": p10_share,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
