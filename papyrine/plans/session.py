@@ -7,7 +7,9 @@ folder is chosen, since a machine-local folder is useless on a cluster.
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +20,13 @@ def bound_arrow_batches(spark: SparkSession, rows: int = 1000, mega_bytes: int =
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mega_bytes * 1024 * 1024))
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (a shared path), if no --py-files did so."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use ``spark.checkpoint.dir``; set an own folder only where none is named."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
