@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import lookalikes, mixing, spans, splitting, tokenizing
+from papyrine.llm import lookalikes, mixing, near_copies, site_lines, spans, splitting, tokenizing
 from papyrine.llm.corpus import texts
 from papyrine.plans.session import bound_arrow_batches
 from papyrine.sources.tables import table
@@ -36,6 +36,31 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.pieces(table(spark, folder, "chunks").dropDuplicates(["chunk_id"]), table(spark, folder, "chunk_options"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    bound_arrow_batches(spark)
+    return _repeated(spark, folder).select("content_id", "line_no")
+
+
+def p3_lines(spark: SparkSession, folder: str) -> DataFrame:
+    bound_arrow_batches(spark)
+    return site_lines.site_list(table(spark, folder, "page_contents"), _repeated(spark, folder))
+
+
+def p3_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    bound_arrow_batches(spark)
+    return site_lines.without_lines(table(spark, folder, "page_contents"), _repeated(spark, folder))
+
+
+def _repeated(spark: SparkSession, folder: str) -> DataFrame:
+    return site_lines.repeated_lines(table(spark, folder, "page_contents"), table(spark, folder, "pages"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    bound_arrow_batches(spark)
+    pairs = near_copies.similar_pairs(table(spark, folder, "page_contents"))
+    return pairs.select(F.col("a").alias("content_id_a"), F.col("b").alias("content_id_b"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     bound_arrow_batches(spark)
     return tokenizing.encode(table(spark, folder, "documents"))
@@ -75,6 +100,10 @@ def queries() -> dict[str, Query]:
         "p1_text": p1_text,
         "p2_found": p2_found,
         "p2_pieces": p2_pieces,
+        "p3_found": p3_found,
+        "p3_lines": p3_lines,
+        "p3_cleaned": p3_cleaned,
+        "p4_found": p4_found,
         "p8_ids": p8_ids,
         "p8_offsets": p8_offsets,
         "p8_decoded": p8_decoded,

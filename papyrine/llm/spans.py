@@ -23,7 +23,6 @@ of windows, which changes no result; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,38 +30,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrine.llm.hashing import Sums
 from papyrine.plans.session import cut_lineage
 
 LENGTH = 300
 #: Code points hashed at a time by a worker; bounds its memory, not the text.
 BLOCK = 1 << 19
-_BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 24) - 1)
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base, inverse = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
-    out = []
-    for b in (base, inverse):
-        p = np.full(n, b, dtype=np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
-
-
 def gram_hashes(points: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of each k-gram of code points, from one running sum."""
-    n = len(points)
-    up, down = _powers(max(2 * BLOCK, 1 << n.bit_length()))
-    c = _mixed((points.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * down[:n], dtype=np.uint64)])
-    return _mixed((total[k:] - total[:-k]) * up[: n - k + 1])
+    starts = np.arange(len(points) - k + 1)
+    return Sums(points).spans(starts, starts + k)
 
 
 def owners(hashes: np.ndarray, w: int) -> np.ndarray:
