@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import lookalikes, mixing, near_copies, site_lines, spans, splitting, tokenizing
+from papyrine.llm import lookalikes, markup, mixing, near_copies, site_lines, spans, splitting, tokenizing
 from papyrine.llm.corpus import texts
 from papyrine.plans.session import bound_arrow_batches
 from papyrine.sources.tables import table
@@ -61,6 +61,17 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("content_id_a"), F.col("b").alias("content_id_b"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    bound_arrow_batches(spark)
+    read = markup.cleaned(texts(spark, folder), ["tbl", "id"])
+    return read.select("tbl", "id", F.explode("kinds").alias("kind")).distinct()
+
+
+def p7_text(spark: SparkSession, folder: str) -> DataFrame:
+    bound_arrow_batches(spark)
+    return markup.cleaned(texts(spark, folder), ["tbl", "id"])
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     bound_arrow_batches(spark)
     return tokenizing.encode(table(spark, folder, "documents"))
@@ -104,6 +115,8 @@ def queries() -> dict[str, Query]:
         "p3_lines": p3_lines,
         "p3_cleaned": p3_cleaned,
         "p4_found": p4_found,
+        "p7_found": p7_found,
+        "p7_text": p7_text,
         "p8_ids": p8_ids,
         "p8_offsets": p8_offsets,
         "p8_decoded": p8_decoded,
