@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import lookalikes, markup, mixing, near_copies, site_lines, spans, splitting, tokenizing
+from papyrine.llm import languages, lookalikes, main_body, markup, mixing, near_copies, site_lines, spans, splitting, tokenizing
 from papyrine.llm.corpus import texts
 from papyrine.plans.session import bound_arrow_batches
 from papyrine.sources.tables import table
@@ -61,6 +61,35 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("content_id_a"), F.col("b").alias("content_id_b"))
 
 
+def _segments(spark: SparkSession, folder: str) -> DataFrame:
+    bound_arrow_batches(spark)
+    fitted = languages.fit(table(spark, folder, "lang_samples"))
+    return languages.segments(table(spark, folder, "page_contents").filter(F.col("content").isNotNull()), fitted, ["content_id", "lang"])
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.wrong_or_mixed(_segments(spark, folder)).filter("lang <> 'zh'")
+
+
+def p5_segments(spark: SparkSession, folder: str) -> DataFrame:
+    each = _segments(spark, folder).dropDuplicates(["content_id"]).select("content_id", F.posexplode("segments").alias("at", "x"))
+    return each.select("content_id", (F.col("at") + 1).alias("seg_no"), "x.*")
+
+
+def _labelled(spark: SparkSession, folder: str) -> DataFrame:
+    bound_arrow_batches(spark, 500, 8)
+    contents, pages = table(spark, folder, "page_contents"), table(spark, folder, "pages")
+    return main_body.labelled(contents, pages, main_body.fit(contents, pages, table(spark, folder, "convert_options"), table(spark, folder, "dom_removals")))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _labelled(spark, folder).select("content_id", F.explode("furniture").alias("line_no")).distinct()
+
+
+def p6_main(spark: SparkSession, folder: str) -> DataFrame:
+    return _labelled(spark, folder).select("content_id", "content").dropDuplicates(["content_id"])
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     bound_arrow_batches(spark)
     read = markup.cleaned(texts(spark, folder), ["tbl", "id"])
@@ -115,6 +144,10 @@ def queries() -> dict[str, Query]:
         "p3_lines": p3_lines,
         "p3_cleaned": p3_cleaned,
         "p4_found": p4_found,
+        "p5_found": p5_found,
+        "p5_segments": p5_segments,
+        "p6_found": p6_found,
+        "p6_main": p6_main,
         "p7_found": p7_found,
         "p7_text": p7_text,
         "p8_ids": p8_ids,
