@@ -41,7 +41,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _FENCE = re.compile(r"^[ \t]*(?:```|~~~)")
 _TAGS = re.compile(r"<[^<>]*>|\]\([^()\s]*\)|https?://\S+|&#?\w+;|\\\w+|\{\{[^{}]*\}\}|`[^`\n]*`")
 
-_RETURNS = dict.fromkeys(map(ord, "\r\x0b\x0c\x85\u2028\u2029"))
+_RETURNS = re.compile("[\r\x0b\x0c\x85\u2028\u2029]")
 _MARKS = re.compile(r"[<\\`&]|\]\(|\{\{|://")
 
 #: Names of languages, besides codes with regions.
@@ -139,7 +139,7 @@ class Reader:
         """Per line: log-likelihoods by language, and letters."""
         if len(self.memory) >= REMEMBERED:
             self.memory.clear()
-        text = self.looks.normal(text.translate(_RETURNS))  # a letter of another script that looks the same is no sign of a language
+        text = self.looks.normal(_RETURNS.sub("", text))  # a letter of another script that looks the same is no sign of a language
         memory, place = self.memory, self.place
         rows, ends, letters, code = [], [], [], False
         for line in text.lower().split("\n"):
