@@ -127,7 +127,7 @@ def feature(name: str) -> int:
 
 def text_features(line: str, at: int, of: int, shorts: tuple[bool, bool]) -> list[str]:
     """Names of a line's features that need no DOM."""
-    bare = line.strip().strip("*_>​⁠﻿ ")
+    bare = line.strip().strip("*_>\u200b\u2060\ufeff ")
     words = _WORD.findall(bare.casefold())
     n, size = len(words), len(bare)
     out = [
@@ -144,7 +144,7 @@ def text_features(line: str, at: int, of: int, shorts: tuple[bool, bool]) -> lis
     for sign, name in (("·", "dot"), (" | ", "bar"), ("](", "link"), ("»", "right"), (" > ", "more"), (" / ", "slash"), ("©", "copy"), ("—", "dash"), (":", "colon"), ("@", "at"), ("…", "more…"), ("```", "fence"), ("http", "url"), ("![", "image"), ("\\", "tex"), ("{", "brace"), ("<", "tag"), ("»", "q")):
         if sign in bare:
             out.append(f"has:{name}:{min(bare.count(sign), 4)}")
-    head = line.lstrip("​⁠﻿ \t")[:3]
+    head = line.lstrip("\u200b\u2060\ufeff \t")[:3]
     if head[:1] in "#*->|•=" or _ITEM.match(line):
         out.append(f"head:{head[:1] if not head[:1].isdigit() else '1.'}:{n <= 12}")
     if bare[:1] == "#" or head[:1] == "#":

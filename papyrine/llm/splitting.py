@@ -160,7 +160,7 @@ def words(text: str, span: Span, code: list[Span]) -> list[Span]:
 
 def characters(text: str, span: Span, code: list[Span]) -> list[Span]:
     """Single characters, with marks and joiners left on what they follow."""
-    return _cut(span, [i for i in range(span[0] + 1, span[1]) if not (unicodedata.combining(text[i]) or text[i] in "‍️" or text[i - 1] == "‍" or "\U0001f3fb" <= text[i] <= "\U0001f3ff")])
+    return _cut(span, [i for i in range(span[0] + 1, span[1]) if not (unicodedata.combining(text[i]) or text[i] in "\u200d\ufe0f" or text[i - 1] == "\u200d" or "\U0001f3fb" <= text[i] <= "\U0001f3ff")])
 
 
 LEVELS: tuple[Callable[[str, Span, list[Span]], list[Span]], ...] = (sections, blocks, items, sentences, words, characters)
