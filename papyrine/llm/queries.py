@@ -160,6 +160,33 @@ def queries() -> dict[str, Query]:
     }
 
 
+_WS = r"\t\n\v\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_WIDE = "".join(chr(c) for c in (*range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)))
+_NARROW = "".join(chr(c - 0xFEE0) for c in (*range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)))
+
+
+def _host(url: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(trim({url}), '(?i)^(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\\]*)', 1)), '^.*@', ''), ':\d*$', ''), '^www\.|\.$', '')"
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries it can express."""
-    return {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+    whole = "CASE WHEN coalesce(breadcrumb, '') = '' THEN text ELSE breadcrumb || chr(10) || chr(10) || text END"
+    letters = f"regexp_replace(lower(strip_accents(replace(replace(replace(translate(line, '{_WIDE}', '{_NARROW}'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'))), '[^\\p{{L}}]+', '', 'g')"
+    return {
+        "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p2_found": f"SELECT DISTINCT chunk_id FROM chunks LEFT JOIN chunk_options USING (option_id) WHERE text IS NOT NULL AND length(regexp_replace(regexp_replace({whole}, '[{_WS}]+', ' ', 'g'), '^ | $', '', 'g')) > CASE WHEN max_length >= 1 THEN max_length ELSE 2048 END",
+        "p3_found": f"""
+            WITH hosts AS (SELECT page_id, max({_host('url')}) AS page_host FROM pages GROUP BY page_id),
+            own AS (SELECT DISTINCT content_id, content, coalesce(nullif({_host('canonical_url')}, ''), page_host, '') AS site FROM page_contents LEFT JOIN hosts USING (page_id) WHERE content IS NOT NULL),
+            lines AS (SELECT content_id, site, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM own),
+            keyed AS (SELECT content_id, site, line_no, replace({letters}, 'ß', 'ss') AS key FROM lines),
+            often AS (SELECT site, key FROM keyed WHERE length(key) >= 15 GROUP BY site, key HAVING count(DISTINCT content_id) >= 5)
+            SELECT DISTINCT content_id, CAST(line_no AS INTEGER) AS line_no FROM keyed JOIN often USING (site, key)""",
+        "p4_found": r"""
+            WITH own AS (SELECT DISTINCT content_id, regexp_extract_all(lower(coalesce(title, '') || chr(10) || content), '[\p{L}\p{N}]+') AS w FROM page_contents WHERE content IS NOT NULL),
+            grams AS (SELECT DISTINCT content_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT content_id, w, unnest(range(1, len(w) - 1)) AS i FROM own WHERE len(w) >= 50)),
+            n AS (SELECT content_id, count(*) AS n FROM grams GROUP BY content_id),
+            both_hold AS (SELECT a.content_id AS a, b.content_id AS b, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.content_id < b.content_id GROUP BY ALL)
+            SELECT a AS content_id_a, b AS content_id_b FROM both_hold JOIN n x ON a = x.content_id JOIN n y ON b = y.content_id WHERE k >= 0.5 * (x.n + y.n - k)""",
+    }
