@@ -199,10 +199,10 @@ def pack(text: str, room: int, measure: Measure) -> list[Span]:
 
 
 def shorten(breadcrumb: str, limit: int) -> str:
-    """The breadcrumb in at most half the limit: without its outermost headings, then without its first characters."""
-    while size(breadcrumb) > limit // 2 and " > " in breadcrumb:
+    """The breadcrumb in at most half the limit, two characters left at least: without its outermost headings, then without its first characters."""
+    most = max(0, min(limit // 2, limit - 2))
+    while size(breadcrumb) > most and " > " in breadcrumb:
         breadcrumb = breadcrumb.split(" > ", 1)[1]
-    most = max(0, limit // 2)
     return breadcrumb if size(breadcrumb) <= most else breadcrumb[len(breadcrumb) - most :] if most else ""
 
 
