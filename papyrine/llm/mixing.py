@@ -9,7 +9,7 @@ n / (2k + 1). In a shard the records, in an order seeded by a hash of their key,
 form the blocks; the quota's blocks are taken whole, in whole records, and a
 quota beyond one pass repeats every record first.
 
-Defined results: a null source, a source without target, and records of 0 tokens
+Defined results: a null source or key, a source without target, and records of 0 tokens
 are not used; a null share counts as 0 and a null max_repeats as 1; a source
 listed twice in the targets has its shares added and its repeats maximised; an
 empty table gives an empty mix. Repeated keys are one record.
@@ -85,7 +85,7 @@ def plan_quotas(targets: list[tuple[str, float, int, int]], block_tokens: int, t
 
 def sizes(documents: DataFrame) -> DataFrame:
     """``doc_id, source, n_tokens`` of each record, materialised once: both the totals and the selection read it."""
-    counted = count_tokens(documents.filter(F.col("source").isNotNull()), ["doc_id", "source"])
+    counted = count_tokens(documents.filter(F.col("source").isNotNull() & F.col("doc_id").isNotNull()), ["doc_id", "source"])
     return cut_lineage(counted.groupBy("doc_id").agg(F.min("source").alias("source"), F.max("n_tokens").alias("n_tokens")).filter("n_tokens > 0"))
 
 

@@ -14,7 +14,7 @@ Similarity is the share of all different word trigrams of two records that both
    groups are divided into pairs of sub-blocks on several tasks, losing no pair.
 3. Exact check of the pairs left, on their whole trigram sets.
 
-Results: a null content is no record; a record of fewer than 50 words is in no pair;
+Results: a null content is no record, nor is one without key (keys are integers); a record of fewer than 50 words is in no pair;
 repeated keys are one record; an empty table gives no pairs.
 """
 
@@ -191,7 +191,7 @@ def _compare(limit: int, most: int = 8192):
 def similar_pairs(df: DataFrame, key: str = "content_id", title: str = "title", text: str = "content", similarity: float = SIMILARITY) -> DataFrame:
     """``a, b, similarity``: all pairs of different keys at or above the similarity."""
     kind = df.schema[key].dataType.simpleString()
-    own = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.col(text)).alias("text"))
+    own = df.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.col(text)).alias("text"))
     features = cut_lineage(own.mapInArrow(_sample, f"id {kind}, sample array<bigint>, sketch binary"))
 
     # 1. the rarest sampled trigrams of each record that another record has too

@@ -28,7 +28,7 @@ def p1_text(spark: SparkSession, folder: str) -> DataFrame:
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     bound_arrow_batches(spark)
     made = splitting.pieces(table(spark, folder, "chunks"), table(spark, folder, "chunk_options"))
-    return made.filter("oversized AND piece_no = 0").select("chunk_id").distinct()
+    return made.filter("oversized AND piece_no = 0 AND chunk_id IS NOT NULL").select("chunk_id").distinct()
 
 
 def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:

@@ -42,7 +42,7 @@ def letters_of(text: str) -> str:
 
 def with_site(contents: DataFrame, pages: DataFrame) -> DataFrame:
     """``site, content_id, content``: only rows whose canonical URL names no host are joined with pages."""
-    named = contents.filter(F.col("content").isNotNull()).select("content_id", "page_id", "content", F.coalesce(host_of(F.col("canonical_url")), F.lit("")).alias("site"))
+    named = contents.filter(F.col("content").isNotNull() & F.col("content_id").isNotNull()).select("content_id", "page_id", "content", F.coalesce(host_of(F.col("canonical_url")), F.lit("")).alias("site"))
     hosts = pages.groupBy("page_id").agg(F.max(host_of(F.col("url"))).alias("page_host"))
     rest = named.filter("site = ''").drop("site").join(hosts, "page_id", "left").withColumn("site", F.coalesce("page_host", F.lit("")))
     cols = ["site", "content_id", "content"]

@@ -15,7 +15,7 @@ shared anchor. All windows a gram owns form its region.
 3. Windows found are merged into maximal spans.
 
 Equality is judged by a 64-bit anchor hash and a 64-bit text hash of another family
-together. Results: null and short texts have no span; repeated rows of one key are
+together. Results: null and short texts have no span, nor have rows without key; repeated rows of one key are
 one record and share nothing with themselves; very long texts are cut into blocks
 of windows, which changes no result; an empty table gives no rows.
 """
@@ -144,7 +144,7 @@ def _extend(length: int):
 def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """``key, span_start, span_end``: the maximal stretches of each text covered by windows that another record holds too."""
     kind = df.schema[key].dataType.simpleString()
-    texts = df.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.length("text") >= length)
+    texts = df.select(F.col(key).alias("id"), F.col(text).alias("text")).filter((F.length("text") >= length) & F.col("id").isNotNull())
     seen = texts.mapInArrow(_seed(length), f"id {kind}, anchor bigint, region bigint, at int, n int")
 
     classes = seen.groupBy("anchor", "region").agg(F.min(F.struct("id", "at", "n")).alias("first"), F.max("id").alias("last"))

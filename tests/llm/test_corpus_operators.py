@@ -45,7 +45,7 @@ def test_spans(spark, prose, length):
         cut = r.randint(0, len(a) - 200)
         rows.append((i, prose(100 + i, 36) + a[cut : cut + r.randint(10, 400)] + prose(300 + i, 24)))
     rows += [(100 + i, pool[0]) for i in range(5)] + [(200, "a" * 500), (201, "b" + "a" * 300), (202, "ab" * 200), (203, "x" + "ab" * 90), (300, "short"), (301, "é" * length), (302, "é" * length)]
-    df = spark.createDataFrame([*[(*x, "n") for x in rows], (5, rows[5][1], "n"), (900, None, "n"), (901, "", "n")], "doc_id bigint, text string, anchor string")
+    df = spark.createDataFrame([*[(*x, "n") for x in rows], (5, rows[5][1], "n"), (900, None, "n"), (901, "", "n"), (None, rows[5][1], "n")], "doc_id bigint, text string, anchor string")
     got = {tuple(x) for x in spans.shared_spans(df, length=length).collect()}
     assert got == brute_spans(rows, length)
     assert spans.shared_spans(df.limit(0), length=length).count() == 0
@@ -121,7 +121,7 @@ def test_near_copies(spark, prose):
     rows += [(200, "t", "too short"), (201, None, ""), (202, None, rows[1][2]), (203, None, rows[1][2])]
     sets = {i: g for i, t, x in rows if (g := grams(t, x))}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
-    data = [(*x, "s") for x in [*rows, rows[1], (300, "t", None)]]
+    data = [(*x, "s") for x in [*rows, rows[1], (300, "t", None), (None, *rows[1][1:])]]
     df = spark.createDataFrame(data, "content_id bigint, title string, content string, sample string")
     got = {(x.a, x.b) for x in near_copies.similar_pairs(df).collect()}
     assert got == want and len(want) > 30
