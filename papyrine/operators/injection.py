@@ -11,10 +11,11 @@ after R is at the start of a line. Results: null stays null, '' stays ''.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from papyrine.functions.urls import trimmed
 from papyrine.operators.entities import decode_entities
 
 B, R = "\ue000", "\ue001"
@@ -49,6 +50,7 @@ COMMENT = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>"
 TAG = rf"<(?=/?([A-Za-z][^\t\n\f\r >/]*+))/?[A-Za-z]{_REST}>"
 #: A run of spaces is tried from its start alone, or from where the last match ended.
 ROLE = r"(?imdU)(^[^\S\n]*+(?:\x{E000}[^\S\n]*+)*+|(?:\G|(?<![^\S\n]))[^\S\n]*+\x{E001}(?:[^\S\n]*+\x{E000})*+[^\S\n]*+)(?:system|assistant):[^\S\n]*+"
+LABEL = r"(?iU)(?:system|assistant):"
 HORIZONTAL = r"(?U)[^\S\n]++"
 
 
@@ -64,23 +66,30 @@ def strip_markup(c: Column) -> Column:
     return F.regexp_replace(c, f"{B}{R}[^{B}{R}]*+{R}{B}", f" {B} ")
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value of ``c``, which is computed once however often ``body`` names it: conditions do not share it otherwise."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 def strip_roles(c: Column) -> Column:
     """Role labels at line starts and after structural tags; the signs of markup become spaces."""
-    return F.translate(F.regexp_replace(c, ROLE, "$1"), B + R, "  ")
+    return F.translate(let(c, lambda x: F.when(x.rlike(LABEL), F.regexp_replace(x, ROLE, "$1")).otherwise(x)), B + R, "  ")
 
 
 def collapse(c: Column, title: bool) -> Column:
+    """White space collapsed; what is left of it at the ends is spaces and line feeds."""
     if title:
-        return trimmed(F.regexp_replace(c, r"(?U)\s++", " "))
-    return trimmed(F.regexp_replace(F.regexp_replace(c, HORIZONTAL, " "), r"\n{3,}", "\n\n"))
+        return F.btrim(F.regexp_replace(c, r"(?U)\s++", " "))
+    return F.btrim(F.regexp_replace(F.regexp_replace(c, HORIZONTAL, " "), r"\n{3,}", "\n\n"), F.lit(" \n"))
 
 
 def sanitize_decoded(c: Column, title: bool = False) -> Column:
-    """The chain after reference decoding."""
+    """The chain after reference decoding. A text without phrases and ``<`` needs no second pass."""
     c = F.regexp_replace(c, FORMAT_SIGNS, " ")
-    c = strip_phrases(c)
-    c = F.when(c.contains("<"), strip_markup(c)).otherwise(c)
-    return collapse(strip_roles(strip_phrases(c)), title)
+    both = F.struct(c.alias("before"), strip_phrases(c).alias("after"))
+    same = lambda x: (x["before"] == x["after"]) & ~x["after"].contains("<")
+    c = let(both, lambda x: F.when(same(x), x["after"]).otherwise(strip_phrases(strip_markup(x["after"]))))
+    return collapse(strip_roles(c), title)
 
 
 def sanitize_prompt_injection(c: Column, title: bool = False) -> Column:
