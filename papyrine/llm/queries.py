@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import languages, lookalikes, main_body, markup, mixing, near_copies, site_lines, spans, splitting, tokenizing
+from papyrine.llm import languages, lookalikes, main_body, markup, mixing, near_copies, site_lines, spans, splitting, tokenizing, wrappers
 from papyrine.llm.corpus import texts
 from papyrine.plans.session import bound_arrow_batches
 from papyrine.sources.tables import table
@@ -101,6 +101,11 @@ def p7_text(spark: SparkSession, folder: str) -> DataFrame:
     return markup.cleaned(texts(spark, folder), ["tbl", "id"])
 
 
+def p7_slots(spark: SparkSession, folder: str) -> DataFrame:
+    bound_arrow_batches(spark, 500, 8)
+    return wrappers.page_slots(table(spark, folder, "pages"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     bound_arrow_batches(spark)
     return tokenizing.encode(table(spark, folder, "documents"))
@@ -150,6 +155,7 @@ def queries() -> dict[str, Query]:
         "p6_main": p6_main,
         "p7_found": p7_found,
         "p7_text": p7_text,
+        "p7_slots": p7_slots,
         "p8_ids": p8_ids,
         "p8_offsets": p8_offsets,
         "p8_decoded": p8_decoded,
@@ -169,11 +175,37 @@ def _host(url: str) -> str:
     return rf"regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(trim({url}), '(?i)^(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\\]*)', 1)), '^.*@', ''), ':\d*$', ''), '^www\.|\.$', '')"
 
 
+def _plain(text: str) -> str:
+    """SQL that maps texts of one look to one text: plain forms, then one letter for each shape, then composed accents."""
+    forms = {chr(c): t for c, t in lookalikes.plain_forms().items() if c < 0x10000 and not 0xD800 <= c < 0xE000}
+    one = {c: t for c, t in forms.items() if t is not None and len(t) == 1} | {"ё": "ë", "Ё": "Ë", "ї": "ï", "Ї": "Ï"}
+    one |= {x: next(y for y in row if y) for x, row in lookalikes.shapes()[0].items()}
+    gone = [c for c, t in forms.items() if t is None]
+    quote = lambda x: "'" + x.replace("'", "''") + "'" if x.isprintable() and x.isascii() else f"chr({ord(x)})"
+    concat = lambda xs: "concat(" + ", ".join(map(quote, xs)) + ")"
+    sql = f"replace({text}, chr(13) || chr(10), chr(10))"
+    for c, t in forms.items():
+        if t is not None and len(t) > 1:
+            sql = f"replace({sql}, {quote(c)}, '{t}')"
+    keys = list(one)
+    return f"nfc_normalize(translate({sql}, {concat([*keys, *gone, *'\u200c\u200d'])}, {concat([one[k] for k in keys])}))"
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries it can express."""
     whole = "CASE WHEN coalesce(breadcrumb, '') = '' THEN text ELSE breadcrumb || chr(10) || chr(10) || text END"
     letters = f"regexp_replace(lower(strip_accents(replace(replace(replace(translate(line, '{_WIDE}', '{_NARROW}'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'))), '[^\\p{{L}}]+', '', 'g')"
     return {
+        "p1_found": f"""
+            WITH all_texts AS (SELECT DISTINCT 'contents' AS tbl, content_id AS id, content AS text FROM page_contents UNION SELECT DISTINCT 'chunks', chunk_id, text FROM chunks),
+            forms AS (SELECT tbl, id, text, {_plain('text')} AS form FROM all_texts WHERE text IS NOT NULL)
+            SELECT a.tbl, a.id AS id_a, b.id AS id_b FROM forms a JOIN forms b ON a.tbl = b.tbl AND a.form = b.form AND a.id < b.id AND a.text <> b.text""",
+        "p10_found": """
+            WITH w AS (SELECT doc_id, p, md5(substr(text, p + 1, 300)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 299)) AS p FROM documents WHERE length(text) >= 300)),
+            s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+            m AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 300 THEN 0 ELSE 1 END AS opens FROM w JOIN s USING (h)),
+            r AS (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM m)
+            SELECT doc_id, CAST(min(p) AS INTEGER) AS span_start, CAST(max(p) + 300 AS INTEGER) AS span_end FROM r GROUP BY doc_id, run""",
         "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p2_found": f"SELECT DISTINCT chunk_id FROM chunks LEFT JOIN chunk_options USING (option_id) WHERE text IS NOT NULL AND length(regexp_replace(regexp_replace({whole}, '[{_WS}]+', ' ', 'g'), '^ | $', '', 'g')) > CASE WHEN max_length >= 1 THEN max_length ELSE 2048 END",
         "p3_found": f"""
