@@ -75,19 +75,18 @@ def extract_dom_removals(pages: DataFrame, patterns: tuple[str, ...] = (), ratio
     """``site, css_selectors_to_remove, html_to_remove`` of every site with HTML, both sorted; empty arrays where nothing is shared."""
     blocks = page_blocks(pages, site, page, html)
     sizes = pages.filter(F.col(html).isNotNull()).groupBy(F.col(site).alias("site")).agg(F.count_distinct(page).alias("pages"))
-    seen = blocks.groupBy("site", "block").agg(
-        F.count_distinct("page").alias("on"), F.first("selector").alias("selector"), F.first("html").alias("html"), F.first("text").alias("text"), F.array_distinct(F.flatten(F.collect_set("above"))).alias("above")
-    )
+    seen = blocks.groupBy("site", "block").agg(F.count_distinct("page").alias("on"), F.first("selector").alias("selector"), F.first("html").alias("html"), F.first("text").alias("text"))
     named = F.lit(False)
     for p in patterns:
         named = named | F.col("text").rlike("(?iU)" + p)
     needed = F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("pages") * ratio))
     marked = seen.join(sizes, "site").withColumn("shared", (F.col("on") >= needed) | (named & (F.col("on") >= LEAST_PAGES)))
-    marked = cut_lineage(marked)  # four branches read it; pages are parsed once
+    marked = cut_lineage(marked)  # four branches read it
     whole = marked.groupBy("site", "selector").agg(F.min("shared").alias("all_shared"))
     shared = marked.filter("shared").join(whole, ["site", "selector"])
     # a block inside another shared one goes with it
-    inner = shared.select("site", F.explode("above").alias("over"), "block").join(shared.select("site", F.col("block").alias("over")), ["site", "over"], "left_semi").select("site", "block").distinct()
+    nested = blocks.select("site", "block", F.explode("above").alias("over")).distinct()  # combined before the shuffle, never gathered per block
+    inner = nested.join(shared.select("site", F.col("block").alias("over")), ["site", "over"], "left_semi").select("site", "block").distinct()
     outer = shared.join(inner, ["site", "block"], "left_anti")
     usable = F.col("all_shared") & F.col("selector").rlike(r"[.#]")
     lists = outer.groupBy("site").agg(
