@@ -15,7 +15,6 @@ Results: null, empty and blank contents, and texts without letters, have no lang
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator

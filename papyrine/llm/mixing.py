@@ -130,6 +130,6 @@ def shares(mixed: DataFrame, mix_targets: DataFrame) -> DataFrame:
     """``source, target_share, reached_share, tokens, uses, most_copies`` of every target."""
     got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("uses"), F.max("copy").alias("most_copies"))
     joined = _targets(mix_targets).join(got, "source", "left").na.fill(0, ["tokens", "uses", "most_copies"])
-    return joined.crossJoin(F.broadcast(got.agg(F.sum("tokens").alias("all_tokens")))).select(
-        "source", "target_share", F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("reached_share"), "tokens", "uses", "most_copies"
-    )
+    whole = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # one row per target, at most MOST_TARGETS
+    share = F.when(whole > 0, F.col("tokens") / whole).otherwise(0.0)
+    return joined.select("source", "target_share", share.alias("reached_share"), "tokens", "uses", "most_copies")
