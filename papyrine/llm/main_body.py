@@ -47,6 +47,7 @@ _CLASS = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+
 _DIGIT = re.compile(r"\d")
 _MARKUP = re.compile(r"<[^<>]*>|\]\([^()\s]*\)")
 _WORD = re.compile(r"[^\W\d_]+")
+_NOTHING = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")  # shows nothing, hides words
 _ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s")
 
 
@@ -127,6 +128,8 @@ def feature(name: str) -> int:
 
 def text_features(line: str, at: int, of: int, shorts: tuple[bool, bool]) -> list[str]:
     """Names of a line's features that need no DOM."""
+    if not line.isascii():
+        line = _NOTHING.sub("", line)
     bare = line.strip().strip("*_>\u200b\u2060\ufeff ")
     words = _WORD.findall(bare.casefold())
     n, size = len(words), len(bare)
