@@ -52,9 +52,7 @@ def count_length(text: str) -> int:
 
 def length_of(c: Column) -> Column:
     """``count_length`` as a native Column."""
-    from papyrine.functions.urls import trimmed
-
-    return F.length(trimmed(F.regexp_replace(c, r"(?U)\s++", " ")))
+    return F.length(F.btrim(F.regexp_replace(c, r"(?U)\s++", " ")))
 
 
 @dataclass
