@@ -153,7 +153,8 @@ def boilerplate_apply(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def length_counter(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", chunking.length_of(F.col("text")).cast("bigint").alias("length"))
+    """Lengths as whole numbers, -1 for a null text."""
+    return table(spark, folder, "documents").select("doc_id", F.coalesce(chunking.length_of(F.col("text")), F.lit(-1)).cast("bigint").alias("length"))
 
 
 def chunk_phase1(spark: SparkSession, folder: str) -> DataFrame:
@@ -326,7 +327,7 @@ def oracle_sql() -> dict[str, str]:
         + " || '\" alt=\"a\" loading=\"lazy\" fetchpriority=\"low\" decoding=\"async\"></p>' || p_type AS html, 'https://img.test/' || p_partkey || '.png' AS first_image_src FROM part",
         "embedding_regex": "SELECT c_custkey, 'i ' || c_name || ' n ' || c_mktsegment || ' [z]' || chr(10) || c_name AS text FROM customer",
         "page_content": r"""SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\s+', ' ', 'g')), '') AS title, nullif(regexp_extract(html, '(?i)<html[^>]*\blang="?([^" >]+)', 1), '') AS lang, nullif(regexp_extract(html, '(?is)<meta name=.description. content=.([^>]*?).>', 1), '') AS description FROM pages""",
-        "length_counter": f"SELECT doc_id, CAST(length({_trim(_sub('text', f'[{_WS}]+', repr(' ')))}) AS BIGINT) AS length FROM documents",
+        "length_counter": f"SELECT doc_id, CAST(coalesce(length({_trim(_sub('text', f'[{_WS}]+', repr(' ')))}), -1) AS BIGINT) AS length FROM documents",
         "chunk_phase1": " UNION ALL ".join(
             (
                 chunk(0, 0, "CAST(NULL AS VARCHAR)", "''", "'intro'"),
