@@ -1,31 +1,41 @@
 """Wrapper induction: the template of a host's pages and the slots its content is in.
 
-Each page's DOM is aligned with one reference page of its host by simple tree matching
-(the largest order-keeping match of equal tags, children against children). A node of
-the reference is constant if at least ``CONSTANT`` of the pages aligned with it (two
-at least) have the same own text there; constant nodes are the template. A second
-alignment gives each page its slots: the texts of its nodes that match no constant one.
-
-The reference is the page of least hash among those of at least mean length, so a host with a third of all pages costs one
-row of reference; counting is a partial aggregation over reference nodes. Results:
-pages without HTML have no row; a host of one page has no template, all its text is in
-slots; a page stored twice counts once.
+A text is a candidate of the template if enough pages of the host (``SHARED`` of them,
+two at least) have it at the same path of tags; all pages are counted. A page's
+candidates with their ancestors are its frame. The frames of a host grow into one tree:
+each is aligned with the tree so far by simple tree matching (the largest order-keeping
+match of equal nodes, children against children) and adds the nodes that match none, so
+optional furniture and other layouts have their place beside the rest. Every node has
+the number of pages that came to it; those with enough are the template. A last
+alignment gives each page its slots: the texts of its nodes that match no template node.
+
+Equal frames are one row with a count. They grow in ``BUCKETS`` parts by hash and the
+parts then into one, so a host with a third of all pages is no single task, and the
+order is the same wherever rows lie. Results: pages without HTML have no row; a host of
+one page has no template, all its text is in slots; a page stored twice counts once.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.functions.hosts import host_of
 from papyrine.operators import dom
 from papyrine.operators.extract import SKIPPED, collapse
+from papyrine.plans.session import cut_lineage
 
-CONSTANT = 0.5
+#: Share of a host's pages that makes a text part of the template, and the least number of them.
+SHARED, LEAST_PAGES = 0.02, 2
+#: Parts in which the frames of a host grow.
+BUCKETS = 64
 #: Element pairs compared for one pair of parents at most; wider lists are matched in order of tags alone.
 WIDEST = 250_000
 
@@ -58,7 +68,7 @@ class Tree:
             self.sizes[i] += sum(self.sizes[c] for c in self.children[i])
 
 
-def tree_match(a: Tree, b: Tree) -> dict[int, int]:
+def tree_match(a: Tree | Frame, b: Tree | Frame) -> dict[int, int]:
     """Nodes of ``a`` and the nodes of ``b`` they match, by simple tree matching."""
     known: dict[tuple[int, int], int] = {}
 
@@ -113,51 +123,188 @@ def _pages(pages: DataFrame) -> DataFrame:
     return one.withColumn("host", F.coalesce("host", F.lit("")))
 
 
-def _with_reference(own: DataFrame) -> DataFrame:
-    mean = own.groupBy("host").agg(F.avg(F.length("html")).alias("mean"))
-    long = own.join(mean, "host").filter(F.length("html") >= F.col("mean"))
-    reference = long.groupBy("host").agg(F.min_by("html", F.struct(F.xxhash64("page_id"), F.col("page_id"))).alias("reference"))
-    return own.join(reference, "host")
+def _signs(t: Tree) -> list[int | None]:
+    """A hash of each node's path of tags and text; none without text."""
+    paths, out = [0] * len(t.tags), [None] * len(t.tags)
+    stack = [(x, 0) for x in t.roots]
+    while stack:
+        x, above = stack.pop()
+        paths[x] = xxhash.xxh3_64_intdigest(t.tags[x], above)
+        if t.keys[x]:
+            out[x] = xxhash.xxh3_64_intdigest(t.keys[x], paths[x]) - (1 << 63)
+        stack.extend((c, paths[x]) for c in t.children[x])
+    return out
+
+
+class Frame:
+    """A tree of candidates and their ancestors; candidates have their hash as tag and key, other nodes no key."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.keys: list[str] = []
+        self.children: list[list[int]] = []
+        self.pages: list[int] = []
+        self.roots: list[int] = []
+
+    def new(self, tag: str, key: str) -> int:
+        self.tags.append(tag)
+        self.keys.append(key)
+        self.children.append([])
+        self.pages.append(0)
+        return len(self.tags) - 1
+
+    def grow(self, other: Frame, times: int | None = None) -> None:
+        """Take in another frame, of ``times`` pages; with none named, its own numbers count."""
+        at = {y: x for x, y in tree_match(self, other).items()}
+        stack = [(-1, -1)]
+        while stack:
+            x, y = stack.pop()
+            old = iter(self.roots if x < 0 else self.children[x])
+            merged = []
+            for c in other.roots if y < 0 else other.children[y]:
+                if c in at:
+                    for o in old:
+                        merged.append(o)
+                        if o == at[c]:
+                            break
+                else:
+                    at[c] = self.new(other.tags[c], other.keys[c])
+                    merged.append(at[c])
+                self.pages[at[c]] += other.pages[c] if times is None else times
+                stack.append((at[c], c))
+            merged.extend(old)
+            if x < 0:
+                self.roots = merged
+            else:
+                self.children[x] = merged
+
+    def dump(self) -> str:
+        rows, stack = [], [(x, -1) for x in reversed(self.roots)]
+        while stack:
+            x, up = stack.pop()
+            stack.extend((c, len(rows)) for c in reversed(self.children[x]))
+            rows.append((up, self.keys[x] and int(self.keys[x]) or self.tags[x], self.pages[x]))
+        return json.dumps(rows, separators=(",", ":"))
+
+    @staticmethod
+    def load(text: str) -> Frame:
+        out = Frame()
+        for up, name, pages in json.loads(text):
+            x = out.new(str(name), str(name) if isinstance(name, int) else "")
+            out.pages[x] = pages
+            (out.roots if up < 0 else out.children[up]).append(x)
+        return out
+
+
+def _frame(ups: list[int], tags: list[str], signs: list[int | None], held: set[int]) -> tuple[Frame, list[int]]:
+    """The frame of a page, and the page's node of each of its nodes."""
+    kept = [s in held for s in signs]
+    for i in range(len(ups) - 1, -1, -1):
+        if kept[i] and ups[i] >= 0:
+            kept[ups[i]] = True
+    out, nodes, at = Frame(), [], {}
+    for i, up in enumerate(ups):
+        if kept[i]:
+            key = str(signs[i]) if signs[i] in held else ""
+            at[i] = out.new(key or tags[i], key)
+            (out.children[at[up]] if up >= 0 else out.roots).append(at[i])
+            nodes.append(i)
+    return out, nodes
+
+
+def _packed(x: list) -> bytes:
+    raw = json.dumps(x, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")
+    return len(raw).to_bytes(4, "big") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(x: bytes) -> list:
+    return json.loads(pa.decompress(x[4:], int.from_bytes(x[:4], "big"), "zstd", asbytes=True).decode("utf-8", "surrogatepass"))
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's tree, packed, so that it is parsed once: nodes (parent, tag, sign) and own texts."""
+    for b in batches:
+        nodes, texts = [], []
+        for html in b.column(2).to_pylist():
+            t = Tree(html)
+            ups = [-1] * len(t.tags)
+            for x, cs in enumerate(t.children):
+                for c in cs:
+                    ups[c] = x
+            nodes.append(_packed([ups, t.tags, _signs(t)]))
+            texts.append(_packed(t.texts))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.binary()), pa.array(texts, pa.binary())], names=["page_id", "host", "nodes", "texts"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Host and sign, with the pages of the batch that have it."""
+    for b in batches:
+        seen: Counter[tuple[str, int]] = Counter()
+        for host, nodes in zip(*(b.column(k).to_pylist() for k in range(2))):
+            seen.update((host, s) for s in set(_unpacked(nodes)[2]) if s is not None)
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([s for _, s in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["host", "sign", "on"])
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and node of its reference: pages matched, pages of equal text; summed over the batch."""
+def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        seen: dict[tuple[str, int], list[int]] = {}
-        trees: dict[str, Tree] = {}
-        for host, html, ref in zip(*(b.column(k).to_pylist() for k in range(3))):
-            r = trees.get(host) or trees.setdefault(host, Tree(ref))
-            page = Tree(html)
-            for x, y in tree_match(r, page).items():
-                if r.texts[x]:
-                    n = seen.setdefault((host, x), [0, 0])
-                    n[0] += 1
-                    n[1] += r.keys[x] == page.keys[y]
-        rows = [(h, x, n, k) for (h, x), (n, k) in seen.items()]
-        cols = list(zip(*rows)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "node", "pages", "same"])
+        sets: dict[str, set[int]] = {}
+        hosts, nodes, signs = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
+        out = []
+        for i, (host, packed) in enumerate(zip(hosts, nodes)):
+            if host not in sets:
+                sets[host] = set(signs[i].as_py())
+            out.append(_frame(*_unpacked(packed), sets[host])[0].dump())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["host", "frame"])
+
+
+def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``host, part, frame`` of sorted rows ``host, part, frame, times``: one row per host and part."""
+    at, tree = None, Frame()
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([at[0]], pa.string()), pa.array([at[1]], pa.int32()), pa.array([tree.dump()], pa.string())], names=["host", "part", "frame"])
+    for b in batches:
+        for host, part, frame, times in zip(*(b.column(k).to_pylist() for k in range(4))):
+            if at != (host, part):
+                if at:
+                    yield row()
+                at, tree = (host, part), Frame()
+            tree.grow(Frame.load(frame), times)
+    if at:
+        yield row()
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        trees: dict[str, Tree] = {}
-        for host, html, ref, constant in zip(*(b.column(k).to_pylist() for k in range(1, 5))):
-            page = Tree(html)
+        trees: dict[str, tuple[Frame, set[int]]] = {}
+        hosts, packed, texts, needs = (b.column(k).to_pylist() for k in (1, 2, 3, 5))
+        for i, (host, need) in enumerate(zip(hosts, needs)):
             gone: set[int] = set()
-            if constant:
-                r = trees.get(host) or trees.setdefault(host, Tree(ref))
-                held = set(constant)
-                gone = {y for x, y in tree_match(r, page).items() if x in held and r.keys[x] == page.keys[y]}
-            out.append([t for i, t in enumerate(page.texts) if t and i not in gone])
+            if need is not None:
+                if host not in trees:
+                    t = Frame.load(b.column(4)[i].as_py())
+                    trees[host] = t, {int(k) for k in t.keys if k}
+                whole, held = trees[host]
+                own, nodes = _frame(*_unpacked(packed[i]), held)
+                gone = {nodes[y] for x, y in tree_match(whole, own).items() if whole.keys[x] and whole.pages[x] >= need}
+            out.append([t for j, t in enumerate(_unpacked(texts[i])) if t and j not in gone])
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=["page_id", "slots"])
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    return df.repartition("host", "part").sortWithinPartitions("host", "part", F.xxhash64("frame"), "frame").select("host", "part", "frame", "times")
+
+
 def page_slots(pages: DataFrame) -> DataFrame:
     """``page_id, slots``: the texts of each page that are no part of its host's template, in order."""
-    both = _with_reference(_pages(pages))
-    counts = both.select("host", "html", "reference").mapInArrow(_counts, "host string, node int, pages bigint, same bigint")
-    total = counts.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    template = total.filter((F.col("same") >= 2) & (F.col("same") >= CONSTANT * F.col("pages"))).groupBy("host").agg(F.array_sort(F.collect_set("node")).alias("constant"))
-    made = both.join(template, "host", "left").select("page_id", "host", "html", "reference", "constant")
+    own = cut_lineage(_pages(pages).select("page_id", "host", "html").mapInArrow(_parsed, "page_id bigint, host string, nodes binary, texts binary"))
+    needed = own.groupBy("host").agg(F.greatest(F.lit(LEAST_PAGES), F.ceil(F.count(F.lit(1)) * SHARED)).cast("bigint").alias("needed"))
+    seen = own.select("host", "nodes").mapInArrow(_texts, "host string, sign bigint, on bigint").groupBy("host", "sign").agg(F.sum("on").alias("on"))
+    shared = seen.filter(F.col("on") >= LEAST_PAGES).join(needed, "host").filter(F.col("on") >= F.col("needed"))
+    shared = cut_lineage(shared.groupBy("host").agg(F.first("needed").alias("needed"), F.array_sort(F.collect_list("sign")).alias("signs")))  # two branches read it
+    frames = own.join(shared, "host").select("host", "nodes", "signs").mapInArrow(_frames, "host string, frame string")
+    equal = frames.groupBy("host", "frame").agg(F.count(F.lit(1)).alias("times"))
+    parts = _sorted(equal.withColumn("part", F.pmod(F.xxhash64("frame"), F.lit(BUCKETS)).cast("int"))).mapInArrow(_grown, "host string, part int, frame string")
+    whole = parts.withColumns({"times": F.lit(None).cast("bigint"), "at": F.col("part"), "part": F.lit(0)}).repartition("host").sortWithinPartitions("host", "at").select("host", "part", "frame", "times")
+    template = whole.mapInArrow(_grown, "host string, part int, frame string").join(shared.select("host", "needed"), "host").select("host", F.col("frame").alias("template"), "needed")
+    made = own.join(template, "host", "left").select("page_id", "host", "nodes", "texts", "template", "needed")
     return made.mapInArrow(_slots, "page_id bigint, slots array<string>")

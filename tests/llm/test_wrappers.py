@@ -46,3 +46,16 @@ def test_slots(spark):
 def test_wide_and_deep():
     assert len(tree_match(Tree("<div>" * 300), Tree("<div>" * 300))) == 300
     assert wrappers.WIDEST > 0 and len(tree_match(Tree("<p>x</p>" * 900), Tree("<p>x</p>" * 900))) == 900
+
+
+def test_optional_furniture_and_layouts(spark):
+    """No page holds all the furniture of the host, whichever page is looked at first."""
+    notes = ["We store small files", "Mail every Friday", "Share this story", "Written by the desk"]
+    rows = []
+    for i in range(40):
+        own = "".join(f"<div><p>{n}</p></div>" for k, n in enumerate(notes) if i % 4 == k)
+        body = f"<div><p>Text {i} here</p></div>" * (i % 3) + own + f"<div><p>End {i}</p></div>"
+        rows.append((i, "http://a.test/", f"<ul><a>Home</a></ul>{body}" if i % 2 else f"<table><tr><td>Other layout</td></tr></table><main>{body}</main>"))
+    got = {r.page_id: r.slots for r in page_slots(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(40):
+        assert got[i] == [f"Text {i} here"] * (i % 3) + [f"End {i}"]
