@@ -18,10 +18,13 @@ one page has no template, all its text is in slots; a page stored twice counts o
 from __future__ import annotations
 
 import json
+import math
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,8 +39,10 @@ from papyrine.plans.session import cut_lineage
 SHARED, LEAST_PAGES = 0.02, 2
 #: Parts in which the frames of a host grow.
 BUCKETS = 64
-#: Element pairs compared for one pair of parents at most; wider lists are matched in order of tags alone.
+#: Cells of a table that are kept at once; of a larger one only some rows are, and the others made again, which changes no result.
 WIDEST = 250_000
+#: Weights of subtree pairs remembered; the memory is emptied when full, which changes no result.
+REMEMBERED = 200_000
 
 
 class Tree:
@@ -69,52 +74,114 @@ class Tree:
 
 
 def tree_match(a: Tree | Frame, b: Tree | Frame) -> dict[int, int]:
-    """Nodes of ``a`` and the nodes of ``b`` they match, by simple tree matching."""
-    known: dict[tuple[int, int], int] = {}
-
-    def table(xs: list[int], ys: list[int]) -> list[list[int]]:
-        m = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-        for i, x in enumerate(xs, 1):
-            for j, y in enumerate(ys, 1):
-                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + known.get((x, y), 0))
-        return m
-
-    # weights of pairs of equal depth, the deepest first
-    layers: list[list[tuple[list[int], list[int]]]] = [[(a.roots, b.roots)]]
-    while layers[-1]:
-        below = []
-        for xs, ys in layers[-1]:
-            if len(xs) * len(ys) > WIDEST:
-                below += [(a.children[x], b.children[y]) for x, y in zip(xs, ys) if a.tags[x] == b.tags[y]]
-            else:
-                below += [(a.children[x], b.children[y]) for x in xs for y in ys if a.tags[x] == b.tags[y]]
-        layers.append(below)
-    for layer in reversed(layers):
-        for xs, ys in layer:
-            for x in xs if len(xs) * len(ys) <= WIDEST else ():
-                for y in ys:
-                    if a.tags[x] == b.tags[y]:
-                        same = 0.5 if a.keys[x] and a.keys[x] == b.keys[y] else 0
-                        known[x, y] = 1 + same + table(a.children[x], b.children[y])[-1][-1] if a.children[x] and b.children[y] else 1 + same
+    """Nodes of ``a`` and the nodes of ``b`` they match, by simple tree matching: exact for lists of any width."""
+    ids: dict[tuple, int] = {}
+    codes: dict[str, int] = {}
+    whole: list[float] = []  # weight of a subtree and its equal, which no other pair exceeds
+
+    def read(t: Tree | Frame) -> tuple[list[int], list[int], list[int], int]:
+        kinds = [0] * len(t.tags)
+        depth = [1] * len(t.tags)
+        for i in range(len(t.tags) - 1, -1, -1):
+            own = tuple([kinds[c] for c in t.children[i]])
+            kinds[i] = ids.setdefault((t.tags[i], t.keys[i], own), len(ids))
+            if kinds[i] == len(whole):
+                whole.append(1 + (0.5 if t.keys[i] else 0) + sum(whole[k] for k in own))
+            depth[i] += max((depth[c] for c in t.children[i]), default=0)
+        return kinds, [codes.setdefault(x, len(codes)) for x in t.tags], [codes.setdefault(x, len(codes)) for x in t.keys], max(depth, default=0)
+
+    ka, ta, sa, deep = read(a)
+    kb, tb, sb, _ = read(b)
+    none = codes.get("", -1)
+    tags, keys, inner = np.array(tb, int), np.array([-1 if s == none else s for s in sb], int), np.array([bool(c) for c in b.children], bool)
+    known: dict[tuple[int, int], float] = {}
+
+    def trim(xs: list[int], ys: list[int]) -> tuple[int, int]:
+        """Lengths of the equal start and of the equal end: matching them is best."""
+        n, k, e = min(len(xs), len(ys)), 0, 0
+        while k < n and ka[xs[k]] == kb[ys[k]]:
+            k += 1
+        while e < n - k and ka[xs[-1 - e]] == kb[ys[-1 - e]]:
+            e += 1
+        return k, e
+
+    def pair(x: int, y: int) -> float:
+        if ta[x] != tb[y]:
+            return 0
+        if ka[x] == kb[y]:
+            return whole[ka[x]]
+        weight = 1.5 if sa[x] == sb[y] != none else 1
+        if not a.children[x] or not b.children[y]:
+            return weight
+        if (found := known.get((ka[x], kb[y]))) is None:
+            xs, ys = a.children[x], b.children[y]
+            k, e = trim(xs, ys)
+            found = weight + sum([whole[ka[x]] for x in (*xs[:k], *xs[len(xs) - e :])])
+            row, ys = [0] * (len(ys) - k - e + 1), ys[k : len(ys) - e]
+            if ys:
+                for z in xs[k : len(xs) - e]:
+                    row = after(row, z, ys)
+                found += float(row[-1])
+            if len(known) >= REMEMBERED:
+                known.clear()
+            known[ka[x], kb[y]] = found
+        return found
+
+    def after(row, x: int, ys: list[int]):
+        """The next row of the table: best weights of the list up to ``x`` with each start of ``ys``."""
+        if len(ys) < 64:
+            out = [0]
+            for j, y in enumerate(ys):
+                out.append(max(row[j + 1], out[j], row[j] + pair(x, y)))
+            return out
+        at = np.array(ys)
+        same = tags[at] == ta[x]
+        w = np.where(same, np.where(keys[at] == sa[x], 1.5, 1.0), 0.0)
+        if a.children[x]:
+            for j in np.flatnonzero(same & inner[at]):
+                w[j] = pair(x, ys[j])
+        row = np.asarray(row, float)
+        return np.concatenate([[0.0], np.maximum.accumulate(np.maximum(row[1:], row[:-1] + w))])
+
     out: dict[int, int] = {}
     stack = [(a.roots, b.roots)]
-    while stack:
-        xs, ys = stack.pop()
-        if len(xs) * len(ys) > WIDEST:
-            pairs = [(x, y) for x, y in zip(xs, ys) if a.tags[x] == b.tags[y]]
-        else:
-            m, i, j, pairs = table(xs, ys), len(xs), len(ys), []
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, limit + 3 * deep))
+    try:
+        while stack:
+            xs, ys = stack.pop()
+            if not xs or not ys:
+                continue
+            k, e = trim(xs, ys)
+            pairs = [*zip(xs[:k], ys[:k]), *zip(xs[len(xs) - e :], ys[len(ys) - e :])]
+            xs, ys = xs[k : len(xs) - e], ys[k : len(ys) - e]
+            # every row of the table, or of a large one each ``gap``-th; those between are made again
+            gap = 1 if len(xs) * len(ys) <= WIDEST else math.isqrt(len(xs)) + 1
+            i, j, row = len(xs), len(ys), [0] * (len(ys) + 1)
+            kept, made = {0: row}, {}
+            for n, x in enumerate(xs if ys else (), 1):
+                row = after(row, x, ys)
+                if n % gap == 0:
+                    kept[n] = row
             while i and j:
-                if m[i][j] == m[i - 1][j]:
+                if gap > 1 and (i not in made or i - 1 not in made):
+                    n = (i - 1) // gap * gap
+                    made = {n: kept[n]}
+                    for m in range(n + 1, i + 1):
+                        made[m] = after(made[m - 1], xs[m - 1], ys)
+                rows = made if gap > 1 else kept
+                if rows[i][j] == rows[i - 1][j]:
                     i -= 1
-                elif m[i][j] == m[i][j - 1]:
+                elif rows[i][j] == rows[i][j - 1]:
                     j -= 1
                 else:
                     pairs.append((xs[i - 1], ys[j - 1]))
                     i, j = i - 1, j - 1
-        for x, y in pairs:
-            out[x] = y
-            stack.append((a.children[x], b.children[y]))
+            for x, y in pairs:
+                out[x] = y
+                stack.append((a.children[x], b.children[y]))
+    finally:
+        sys.setrecursionlimit(limit)
     return out
 
 

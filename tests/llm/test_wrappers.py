@@ -59,3 +59,20 @@ def test_optional_furniture_and_layouts(spark):
     got = {r.page_id: r.slots for r in page_slots(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     for i in range(40):
         assert got[i] == [f"Text {i} here"] * (i % 3) + [f"End {i}"]
+
+
+def test_wide_lists_are_exact(monkeypatch):
+    make = lambda n: Tree("<div>Top</div>" + "".join(f"<p>{i} of {n}</p>" for i in range(n)) + "<p>Foot</p><p>Last {0}</p>".format(n))
+    a, b = make(600), make(601)
+    foot = tree_match(a, b)
+    assert foot[601] == 602 and foot[0] == 0 and len(foot) == 603
+    r = random.Random(2)
+    page = lambda: Tree("".join(f"<{t}><b>{r.randint(0, 9)}</b></{t}>" for t in r.choices(["div", "p", "ul"], k=90)))
+    for _ in range(3):
+        a, b = page(), page()
+        monkeypatch.setattr(wrappers, "WIDEST", 10**9)
+        kept = tree_match(a, b)
+        monkeypatch.setattr(wrappers, "WIDEST", 1)
+        assert tree_match(a, b) == kept
+    a, b = Tree("<div>" * 3000 + "x"), Tree("<div>" * 3000 + "y")
+    assert len(tree_match(a, b)) == 3000
