@@ -1,11 +1,12 @@
 """Learning what the pages of a site share, as a relational plan.
 
-Each page gives its candidate blocks once (distinct by outer HTML); blocks are counted
+Each page gives its candidate blocks once (distinct by outer HTML), among them the
+paragraphs, items and headings outside ``main`` and ``article``; blocks are counted
 over distinct pages per site. A block is boilerplate if it is on at least
 max(2, ceil(ratio * pages of the site)) pages, or on 2 where a pattern matches its
 text. Its selector (tag with sorted classes, or id) is learned when every block of
-the site that it selects is boilerplate; else the block's HTML is. Nested blocks of
-a learned block are left out, as they go with it.
+the site that it selects is boilerplate; else the block's HTML is. Blocks that lie in
+a learned block wherever they are are left out, as they go with it.
 
 The heavy step, from pages to blocks, is narrow; counting is a partial aggregation, so
 a site with a third of all pages is combined on the map side first.
@@ -27,7 +28,10 @@ from papyrine.plans.session import cut_lineage
 
 RATIO = 0.5
 LEAST_PAGES = 2
-_CANDIDATES = dom.ENDS_PARAGRAPH - frozenset("p li dd dt hr".split()) - frozenset(dom.HEADINGS)
+#: Inside these, repeated paragraphs, items and headings are content.
+_ROOTS = frozenset(("main", "article"))
+_SMALL = frozenset("p li dd dt".split()) | frozenset(dom.HEADINGS)
+_CANDIDATES = dom.ENDS_PARAGRAPH - _SMALL - frozenset(("hr",)) - _ROOTS
 
 
 def selector_of(n: dom.Node) -> str:
@@ -39,19 +43,27 @@ def selector_of(n: dom.Node) -> str:
 
 
 def blocks_of(html: str) -> list[dict]:
-    """Distinct candidate blocks of a page: selector, HTML, text, and the hashes of the candidates around."""
+    """Distinct candidate blocks of a page: selector, HTML, text, and the hashes of the candidates around.
+
+    A selector that also selects paragraphs or items inside the article has a row without HTML, so that it is not learned.
+    """
     out: dict[int, dict] = {}
-    stack: list[tuple[dom.Node, tuple[int, ...]]] = [(c, ()) for c in reversed(dom.parse(html, fragment=False).children)]
+    stack: list[tuple[dom.Node, tuple[int, ...], bool]] = [(c, (), False) for c in reversed(dom.parse(html, fragment=False).children)]
     while stack:
-        n, above = stack.pop()
+        n, above, inside = stack.pop()
         if n.tag[0] == "#" or n.tag in SKIPPED:
             continue
-        if n.tag in _CANDIDATES and n.tag not in ("main", "article") and (text := collapse(n.text_content())):
+        inside = inside or n.tag in _ROOTS
+        if (n.tag in _CANDIDATES or n.tag in _SMALL and not inside) and (text := collapse(n.text_content())):
             whole = collapse(dom.serialize(n, own=True))
             key = xxhash.xxh3_64_intdigest(whole) - (1 << 63)
-            out.setdefault(key, {"block": key, "selector": selector_of(n), "html": whole, "text": text, "above": list(above)})
+            made = out.setdefault(key, {"block": key, "selector": selector_of(n), "html": whole, "text": text, "above": list(above)})
+            made["above"] = [x for x in made["above"] if x in above]
             above = (*above, key)
-        stack.extend((c, above) for c in reversed(n.children))
+        elif n.tag in _SMALL and inside and re.search("[.#]", selector := selector_of(n)):
+            key = xxhash.xxh3_64_intdigest(f"kept {selector}") - (1 << 63)
+            out.setdefault(key, {"block": key, "selector": selector, "html": None, "text": None, "above": []})
+        stack.extend((c, above, inside) for c in reversed(n.children))
     return list(out.values())
 
 
@@ -80,14 +92,15 @@ def extract_dom_removals(pages: DataFrame, patterns: tuple[str, ...] = (), ratio
     for p in patterns:
         named = named | F.col("text").rlike("(?iU)" + p)
     needed = F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("pages") * ratio))
-    marked = seen.join(sizes, "site").withColumn("shared", (F.col("on") >= needed) | (named & (F.col("on") >= LEAST_PAGES)))
+    marked = seen.join(sizes, "site").withColumn("shared", F.col("html").isNotNull() & ((F.col("on") >= needed) | (F.coalesce(named, F.lit(False)) & (F.col("on") >= LEAST_PAGES))))
     marked = cut_lineage(marked)  # four branches read it
     whole = marked.groupBy("site", "selector").agg(F.min("shared").alias("all_shared"))
     shared = marked.filter("shared").join(whole, ["site", "selector"])
-    # a block inside another shared one goes with it
-    nested = blocks.select("site", "block", F.explode("above").alias("over")).distinct()  # combined before the shuffle, never gathered per block
-    inner = nested.join(shared.select("site", F.col("block").alias("over")), ["site", "over"], "left_semi").select("site", "block").distinct()
-    outer = shared.join(inner, ["site", "block"], "left_anti")
+    # a block that is inside another shared one wherever it is goes with it
+    key = ["site", "block"]
+    places = blocks.select(*key, "above").join(shared.select(*key), key, "left_semi").distinct()
+    inner = places.withColumn("over", F.explode("above")).join(shared.select("site", F.col("block").alias("over")), ["site", "over"], "left_semi").select(*key, "above").distinct()
+    outer = shared.join(places.join(inner, [*key, "above"], "left_anti"), key, "left_semi")
     usable = F.col("all_shared") & F.col("selector").rlike(r"[.#]")
     lists = outer.groupBy("site").agg(
         F.array_sort(F.collect_set(F.when(usable, F.col("selector")))).alias("css_selectors_to_remove"), F.array_sort(F.collect_set(F.when(~usable, F.col("html")))).alias("html_to_remove")

@@ -117,3 +117,16 @@ def test_learn(spark):
     named = boilerplate.extract_dom_removals(df.filter("page_id < 2"), patterns=("boilerplate",), ratio=2.0).filter("site_id = 1").head()
     assert named.css_selectors_to_remove == ["nav.shared"]
     assert boilerplate.extract_dom_removals(df.limit(0)).count() == 0
+
+
+def test_learn_paragraphs_of_varying_blocks(spark):
+    page = "<div>{}<p>Contact: Douren 43</p></div><ul>{}<li class='x'>Our newsletter</li></ul><main><p>Same in all</p><p class='y'>{}</p><div><p>Text {}</p></div></main><p class='y'>End</p>"
+    rows = [(i, 1, page.format(f"<p>Note {i}</p>", f"<li>Item {i}</li>" if i < 2 else f"<li class='x'>Other {i}</li>", i, i)) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id int, site_id int, html string")
+    got = boilerplate.extract_dom_removals(df).head()
+    assert got.css_selectors_to_remove == [] and got.html_to_remove == ['<li class="x">Our newsletter</li>', '<p class="y">End</p>', "<p>Contact: Douren 43</p>"]
+    few = df.withColumn("html", F.when(F.col("page_id") < 2, F.col("html")).otherwise("<p>Else</p>")).unionByName(spark.range(10, 20).selectExpr("int(id) page_id", "1 site_id", "concat('<p>', id, '</p>') html"))
+    assert boilerplate.extract_dom_removals(few, patterns=("newsletter",)).head().css_selectors_to_remove == ["li.x"]
+    foot = [(i, 1, "<footer><p>All rights</p></footer>" if i < 2 else f"<div><p>All rights</p><p>{i}</p></div>") for i in range(4)]
+    got = boilerplate.extract_dom_removals(spark.createDataFrame(foot, "page_id int, site_id int, html string")).head()
+    assert got.html_to_remove == ["<footer><p>All rights</p></footer>", "<p>All rights</p>"]
