@@ -26,10 +26,13 @@ def first_arrivals(stream: DataFrame, key: str, event_time: str, lateness: str =
     return stream.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark([key])
 
 
-def counts_by_window(stream: DataFrame, event_time: str, size: str, lateness: str, *keys: str) -> DataFrame:
-    """Documents and bytes by time window and keys, late data included up to ``lateness``."""
+def counts_by_window(stream: DataFrame, event_time: str, size: str, lateness: str, *keys: str, text: str | None = None) -> DataFrame:
+    """Documents by time window and keys, and with ``text`` named its bytes (0 where all are null), late data included up to ``lateness``."""
     window = F.window(event_time, size)
-    return stream.withWatermark(event_time, lateness).groupBy(window, *keys).agg(F.count(F.lit(1)).alias("documents"))
+    made = [F.count(F.lit(1)).alias("documents")]
+    if text is not None:
+        made.append(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes"))
+    return stream.withWatermark(event_time, lateness).groupBy(window, *keys).agg(*made)
 
 
 def collect_blocks(stream: DataFrame, path: str, checkpoint: str, **columns: str) -> StreamingQuery:

@@ -77,6 +77,12 @@ def test_stream_state_and_blocks(spark, tmp_path):
     assert spark.table("counts").agg(F.sum("documents")).head()[0] == 3
 
 
+def test_window_bytes(spark):
+    df = spark.createDataFrame([("é", "2024-01-01 00:00:00"), ("ab", "2024-01-01 01:00:00"), (None, "2024-01-03 00:00:00")], "text string, at string").withColumn("at", F.to_timestamp("at"))
+    got = stream.counts_by_window(df, "at", "1 day", "7 days", text="text").orderBy("window").collect()
+    assert [(r.documents, r.bytes) for r in got] == [(2, 4), (1, 0)]
+
+
 def test_sql_functions(spark):
     names = register(spark, "t_")
     assert "t_chunks" in names
