@@ -190,7 +190,7 @@ class Reader:
         while len(chosen) < own.shape[1] and np.maximum(rest, 0).sum() > PRICE:
             gains = np.maximum(own - own[:, chosen].max(axis=1, keepdims=True), 0).sum(axis=0)
             best = None
-            for c in [int(c) for c in np.argsort(-gains)[:3] if gains[c] > PRICE and c not in chosen]:
+            for c in [int(c) for c in np.argsort(-gains) if gains[c] > PRICE and c not in chosen]:
                 v, _ = self.mixture(own, [*chosen, c])
                 if v - PRICE > value and (best is None or v > best[0]):
                     best = (v, c)

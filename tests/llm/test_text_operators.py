@@ -284,3 +284,17 @@ def test_mix(spark):
     assert uses == 0 and mixed.filter("source = 'stray'").count() == 0
     assert sorted(mixed.collect()) == sorted(mixing.mix(sized.repartition(7), targets, block_tokens=64, shard_tokens=20_000).collect())
     assert mixing.mix(sized.limit(0), targets).count() == 0
+
+
+def test_every_language_is_tried():
+    """Three languages of larger gain improve nothing by mixing; the fourth does."""
+    import numpy as np
+
+    model = languages.Model([(x, "word") for x in ("de", "en", "es", "fr", "it")])
+    scores = np.zeros((101, 5))
+    scores[:50, 1:4], scores[50:, 1:4], scores[:, 4] = 0.5, -0.7, -5.0
+    scores[100, 1:4], scores[100, 4] = -0.7, 24.0
+    scores[:, 0] += 1e-6
+    reader = languages.Reader(model)
+    reader.lines = lambda text: (scores, np.ones(101, int))
+    assert "it" in [s[0] for s in reader.read("")]
