@@ -1,11 +1,14 @@
 """Lines repeated across the documents of one site, by content-defined chunks.
 
-A content is cut into chunks by its content: at the end of a line, and inside a line
-wherever the rolling hash of the last ``WINDOW`` letters has ``CUT_BITS`` zero bits.
-Chunks are hashes of letters alone (no case, accents, width, digits or signs), so a
-notice that is re-spaced or renumbered keeps its chunks. Distinct contents are counted
-per site and chunk; a line whose first chunk is not repeated cannot be repeated, which
-leaves few candidates for the exact count of whole lines per site.
+A content is read as one stream of letters (no case, accents, width, digits, signs or
+line ends). Chunks end where the rolling hash of ``GRAM`` letters is the least of some
+``window`` neighbouring ones, for each window of ``WINDOWS``; a chunk reaches to the end
+of the letters hashed at its end. Whatever stands around it, a line of ``LETTERS``
+letters holds a whole chunk of the least window, since GRAM + 2 * window - 1 <= LETTERS,
+and longer lines hold longer ones. Distinct contents are counted per site and chunk;
+chunks of ``CONTENTS`` contents are cut. A line is read off the cut if the longest chunk
+whose place its own letters decide is cut. The exact check that follows counts
+whole lines of what was read off, since lines of other letters can share a chunk.
 
 Results: a null content has no lines; a line with fewer than ``LETTERS`` letters never
 counts; a row stored twice counts once; a content without host in its canonical URL
@@ -29,8 +32,9 @@ from papyrine.plans.session import cut_lineage
 
 LETTERS = 15
 CONTENTS = 5
-WINDOW = 8
-CUT_BITS = 6
+GRAM = 4
+#: Neighbouring hashes of which a cut has the least, from the least window to the largest; gaps between cuts stay below 256.
+WINDOWS = (6, 18)
 
 _OTHERS = re.compile(r"(?:(?!\n)[\W\d_])+")
 
@@ -49,39 +53,88 @@ def with_site(contents: DataFrame, pages: DataFrame) -> DataFrame:
     return named.filter("site <> ''").select(cols).unionByName(rest.select(cols))
 
 
-def line_chunks(texts: list[str], sites: list[str]) -> dict[str, np.ndarray]:
-    """Lines with enough letters of a batch: row, line number, first chunk and whole line; and the chunks of each row.
+class Stream:
+    """The letters of a batch of contents, and where contents and lines begin and end in them."""
 
-    Chunk hashes hold the site, so equal chunks of two sites differ.
+    def __init__(self, texts: list[str]):
+        folded = [letters_of(t) for t in texts]
+        points = points_of("\n".join(folded) + "\n")
+        feeds = points == 10
+        self.points = points[~feeds]
+        self.line_ends = np.cumsum(~feeds)[feeds]
+        self.line_starts = np.concatenate([[0], self.line_ends[:-1]])
+        sizes = np.array([f.count("\n") + 1 for f in folded])
+        self.row = np.repeat(np.arange(len(folded)), sizes)  # of each line
+        self.line_no = np.arange(len(self.row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+        self.ends = self.line_ends[np.cumsum(sizes) - 1]
+        self.starts = np.concatenate([[0], self.ends[:-1]])
+        self.sums = Sums(self.points)
+
+
+def least_places(hashes: np.ndarray, window: int) -> np.ndarray:
+    """For each start, the place of the least of ``window`` hashes, the last one of equal ones."""
+    least, at, size = hashes, np.arange(len(hashes)), 1
+    while size < window:
+        step = min(size, window - size)
+        later = least[step:] <= least[:-step]
+        least, at = np.where(later, least[step:], least[:-step]), np.where(later, at[step:], at[:-step])
+        size += step
+    return at
+
+
+def chunks_of(stream: Stream, seeds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a window: the least place of each start, the cuts, and the chunk ids with the contents they lie in.
+
+    Chunk i lies between cuts i and i + 1. An id has the gap between its cuts in its highest byte, so a longer chunk has a greater id.
     """
-    folded = [letters_of(t) for t in texts]
-    points = points_of("\n".join(folded) + "\n")
-    feeds = np.flatnonzero(points == 10)
-    starts = np.concatenate([[0], feeds[:-1] + 1])
-    sizes = np.array([f.count("\n") + 1 for f in folded])
-    row = np.repeat(np.arange(len(folded)), sizes)
-    line_no = np.arange(len(feeds)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
-    sums = Sums(points)
-    rolling = np.zeros(len(points), dtype=np.uint64)
-    mask = np.uint64((1 << CUT_BITS) - 1)
-    if len(points) > WINDOW:
-        ends = np.arange(WINDOW, len(points) + 1)
-        rolling[WINDOW - 1 :] = sums.spans(ends - WINDOW, ends)
-    inner = np.flatnonzero((rolling & mask) == 0)
-    line_of = np.searchsorted(feeds, inner)
-    fits = (inner - starts[line_of] >= WINDOW - 1) & (inner + 1 < feeds[line_of])
-    cuts = np.union1d(inner[fits] + 1, feeds)  # a cut ends a chunk
-    begin = np.concatenate([[0], cuts[:-1]])
-    begin = np.where((begin > 0) & (points[np.minimum(begin, len(points) - 1)] == 10), begin + 1, begin)
-    chunk_line = np.searchsorted(feeds, cuts)
-    long = (feeds - starts)[chunk_line] >= LETTERS
-    begin, cuts, chunk_line = begin[long], cuts[long], chunk_line[long]
-    seed = np.array([hash_text(s) for s in sites], dtype=np.uint64)
-    chunk = mixed(sums.spans(begin, cuts) ^ seed[row[chunk_line]])
-    first = np.concatenate([[True], chunk_line[1:] != chunk_line[:-1]]) if len(chunk_line) else np.zeros(0, bool)
-    lines = chunk_line[first]
-    whole = sums.spans(starts[lines], feeds[lines])
-    return {"row": row[lines], "line_no": line_no[lines], "first": chunk[first], "line": whole, "chunk_row": row[chunk_line], "chunk": chunk}
+    places = np.arange(max(0, len(stream.points) - GRAM + 1))
+    hashes = stream.sums.spans(places, places + GRAM)
+    if len(hashes) < window:
+        none = np.zeros(0, np.int64)
+        return none, none, none.view(np.uint64), none
+    at = least_places(hashes, window)
+    own = np.searchsorted(stream.ends, np.arange(len(at)), side="right")  # content of each start
+    inside = np.arange(len(at)) + window + GRAM - 1 <= stream.ends[own]
+    cuts = np.unique(at[inside])
+    content = np.searchsorted(stream.ends, cuts, side="right")
+    begin, end = cuts[:-1], cuts[1:]
+    ids = (mixed(stream.sums.spans(begin, end + GRAM) ^ seeds[content[:-1]]) >> np.uint64(8)) | ((end - begin).astype(np.uint64) << np.uint64(56))
+    ids[content[:-1] != content[1:]] = 0  # no chunk goes on in the next content
+    return at, cuts, ids, content[:-1]
+
+
+def seeds_of(sites: list[str]) -> np.ndarray:
+    """One number a site, so equal chunks of two sites differ."""
+    known = {s: hash_text(s) for s in set(sites)}
+    return np.array([known[s] for s in sites], dtype=np.uint64)
+
+
+def content_chunks(texts: list[str], sites: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The different chunks of a batch, and in how many of its contents each is."""
+    stream, seeds = Stream(texts), seeds_of(sites)
+    pairs = []
+    for window in WINDOWS:
+        _, _, ids, content = chunks_of(stream, seeds, window)
+        pairs.append(np.unique(np.stack([content[ids > 0].astype(np.uint64), ids[ids > 0]]), axis=1)[1])
+    return np.unique(np.concatenate(pairs), return_counts=True)
+
+
+def line_chunks(texts: list[str], sites: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines with enough letters of a batch: row, line number, the longest chunk whose place the line decides, and the hash of the whole line."""
+    stream, seeds = Stream(texts), seeds_of(sites)
+    long = np.flatnonzero(stream.line_ends - stream.line_starts >= LETTERS)
+    starts, ends = stream.line_starts[long], stream.line_ends[long]
+    best = np.zeros(len(long), np.uint64)
+    for window in WINDOWS:
+        at, cuts, ids, _ = chunks_of(stream, seeds, window)
+        fits = np.flatnonzero(ends - starts >= GRAM + 2 * window - 1)
+        if not len(fits):
+            continue
+        first = np.searchsorted(cuts, at[starts[fits]])
+        last = np.searchsorted(cuts, at[ends[fits] - GRAM - window + 1])
+        ranges = np.stack([first, last], axis=1).ravel()
+        best[fits] = np.maximum(best[fits], np.maximum.reduceat(np.concatenate([ids, np.zeros(2, np.uint64)]), ranges)[::2])
+    return stream.row[long], stream.line_no[long], best, stream.sums.spans(starts, ends)
 
 
 def hash_text(text: str) -> int:
@@ -97,29 +150,31 @@ def _columns(b: pa.RecordBatch) -> tuple[list[str], list[str]]:
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            got = line_chunks(*_columns(b))
-            pairs = np.unique(np.stack([got["chunk_row"].astype(np.int64), got["chunk"].view(np.int64)]), axis=1) if len(got["chunk"]) else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[1])], names=["chunk"])
+            ids, contents = content_chunks(*_columns(b))
+            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(contents.astype(np.int64))], names=["chunk", "contents"])
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            got = line_chunks(*_columns(b))
-            at = pa.array(got["row"].astype(np.int64))
+            row, line_no, chunk, line = line_chunks(*_columns(b))
+            at = pa.array(row.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(1).take(at), pa.array(got["line_no"].astype(np.int32)), pa.array(got["first"].view(np.int64)), pa.array(got["line"].view(np.int64))],
+                [b.column(0).take(at), b.column(1).take(at), pa.array(line_no.astype(np.int32)), pa.array(chunk.view(np.int64)), pa.array(line.view(np.int64))],
                 names=["site", "content_id", "line_no", "chunk", "line"],
             )
 
 
+def lines_of_cut_chunks(own: DataFrame, least: int = CONTENTS) -> DataFrame:
+    """``site, content_id, line_no, line`` of lines read off the chunks that at least ``least`` contents of their site share; ``line`` is the hash of its letters."""
+    # a row stored twice counts twice here, which may cut a chunk too many; the exact check counts it once
+    cut = own.mapInArrow(_chunks, "chunk bigint, contents bigint").groupBy("chunk").agg(F.sum("contents").alias("contents")).filter(F.col("contents") >= least).select("chunk")
+    return own.mapInArrow(_lines, "site string, content_id bigint, line_no int, chunk bigint, line bigint").join(cut, "chunk").select("site", "content_id", "line_no", "line")
+
+
 def repeated_lines(contents: DataFrame, pages: DataFrame, least: int = CONTENTS) -> DataFrame:
     """``site, content_id, line_no, line``: lines that recur in at least ``least`` contents of their site; ``line`` is the hash of its letters."""
-    own = with_site(contents, pages)
-    # counts rows, so a row stored twice may let a chunk pass here; the exact count below does not
-    often = own.mapInArrow(_chunks, "chunk bigint").groupBy("chunk").count().filter(F.col("count") >= least).select("chunk")
-    lines = own.mapInArrow(_lines, "site string, content_id bigint, line_no int, chunk bigint, line bigint")
-    near = cut_lineage(lines.join(often, "chunk").select("site", "content_id", "line_no", "line"))
+    near = cut_lineage(lines_of_cut_chunks(with_site(contents, pages), least))
     counts = near.groupBy("site", "line").agg(F.count_distinct("content_id").alias("contents")).filter(F.col("contents") >= least)
     return near.join(counts, ["site", "line"]).groupBy("content_id", "line_no").agg(F.first("site").alias("site"), F.first("line").alias("line"), F.first("contents").alias("contents"))
 
