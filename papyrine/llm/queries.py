@@ -175,20 +175,23 @@ def _host(url: str) -> str:
     return rf"regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(trim({url}), '(?i)^(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\\]*)', 1)), '^.*@', ''), ':\d*$', ''), '^www\.|\.$', '')"
 
 
+#: Fixed values of the SQL of p1_found, stated apart from the operator: letters drawn as those below them, signs that show nothing, kinds of space.
+_FOREIGN = "АВЕЅІЈКМНОРСТХаеорсухіјѕһԁԛԝѵΑΒΕΖΗΙΚΜΝΟΡΤΥΧοё"
+_LATIN = "ABESIJKMHOPCTXaeopcyxijshdqwvABEZHIKMNOPTYXoë"
+_HIDDEN = (0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF)
+_SPACES = (0x09, 0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)
+
+
 def _plain(text: str) -> str:
-    """SQL that maps texts of one look to one text: plain forms, then one letter for each shape, then composed accents."""
-    forms = {chr(c): t for c, t in lookalikes.plain_forms().items() if c < 0x10000 and not 0xD800 <= c < 0xE000}
-    one = {c: t for c, t in forms.items() if t is not None and len(t) == 1} | {"ё": "ë", "Ё": "Ë", "ї": "ï", "Ї": "Ï"}
-    one |= {x: next(y for y in row if y) for x, row in lookalikes.shapes()[0].items()}
-    gone = [c for c, t in forms.items() if t is None]
-    quote = lambda x: "'" + x.replace("'", "''") + "'" if x.isprintable() and x.isascii() else f"chr({ord(x)})"
-    concat = lambda xs: "concat(" + ", ".join(map(quote, xs)) + ")"
+    """SQL that maps texts of one look to one text: line ends, ligatures, width forms, spaces, hidden signs, letters of other scripts, composed accents."""
+    signs = lambda codes: "concat(" + ", ".join(f"chr({c})" for c in codes) + ")"
     sql = f"replace({text}, chr(13) || chr(10), chr(10))"
-    for c, t in forms.items():
-        if t is not None and len(t) > 1:
-            sql = f"replace({sql}, {quote(c)}, '{t}')"
-    keys = list(one)
-    return f"nfc_normalize(translate({sql}, {concat([*keys, *gone, *'\u200c\u200d'])}, {concat([one[k] for k in keys])}))"
+    for sign, plain in zip("ﬀﬁﬂﬃﬄ", ("ff", "fi", "fl", "ffi", "ffl")):
+        sql = f"replace({sql}, '{sign}', '{plain}')"
+    width = range(0xFF01, 0xFF5F)
+    sql = f"translate({sql}, {signs(width)}, {signs(c - 0xFEE0 for c in width)})"
+    sql = f"translate({sql}, {signs((*_SPACES, *_HIDDEN))}, '{' ' * len(_SPACES)}')"
+    return f"nfc_normalize(translate(nfc_normalize({sql}), '{_FOREIGN}', '{_LATIN}'))"
 
 
 def oracle_sql() -> dict[str, str]:

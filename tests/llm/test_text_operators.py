@@ -11,13 +11,18 @@ from hypothesis import strategies as st
 
 from papyrine.llm import languages, lookalikes, main_body, markup, mixing, splitting, tokenizing
 
-READER = lookalikes.Reader(lookalikes.bigrams(["signal letter window council market", "сигнал письмо окно совет рынок", None]))
+SAMPLES_OF_SCRIPTS = ["signal letter window council market we see a cop there", "сигнал письмо окно совет рынок мы видим сор и пар на поле", None]
 needs_tokenizer = pytest.mark.skipif(not os.path.exists(f"{tokenizing.TOKENIZER_DIR}/{tokenizing.TOKENIZER}.json"), reason="no tokenizer files")
 
 
 # look-alikes
 
 
+@pytest.fixture(scope="module")
+def reader(spark):
+    return lookalikes.Reader(lookalikes.fit(SAMPLES_OF_SCRIPTS, lookalikes.confusables(spark)))
+
+
 @pytest.mark.parametrize(
     ("a", "b"),
     [
@@ -33,35 +38,61 @@ needs_tokenizer = pytest.mark.skipif(not os.path.exists(f"{tokenizing.TOKENIZER_
         ("Οne", "One"),
     ],
 )
-def test_same_look(a, b):
-    assert READER.normal(a) == READER.normal(b) == READER.normal(READER.normal(a))
+def test_same_look(reader, a, b):
+    assert reader.normal(a) == reader.normal(b) == reader.normal(reader.normal(a))
 
 
 @pytest.mark.parametrize(("a", "b"), [("Text", "text"), ("cafe", "café"), ("a.", "a;"), ("x2", "x3"), ("a b", "ab"), ("x²", "x2"), ("a\nb", "a b"), ("½", "1/2"), ("shop", "ship"), ("l1", "ll")])
-def test_different_look(a, b):
-    assert READER.normal(a) != READER.normal(b)
+def test_different_look(reader, a, b):
+    assert reader.normal(a) != reader.normal(b)
+
+
+def test_script_choice(reader):
+    assert reader.normal("окно \u0063игнал") == "окно сигнал"
+    assert reader.normal("text with сигнал inside") == "text with сигнал inside"
+    assert reader.normal("m\u0430rket") == "market" and reader.normal("") == ""
+    assert reader.normal("мы видим cop на поле") == "мы видим сор на поле" and reader.normal("we see a сор there") == "we see a cop there"
+
 
+def test_scores_decide(reader):
+    """Other character scores give other scripts: words that several scripts can write follow the search, and nothing else does."""
+    from dataclasses import replace
+
+    ambiguous = ["see", "ѕее", "ѕеe а"]
+    other = replace(reader.fitted, bigrams={"Latin": {}, "Cyrillic": {a + b: -0.1 for a in "^арехосѕу" for b in "арехосѕу"}})
+    assert all(reader.normal(t).isascii() for t in ambiguous)
+    assert all(not lookalikes.Reader(other).normal(t).isascii() for t in ambiguous)
+    assert lookalikes.Reader(other).normal("market сигнал") == "market сигнал"
+    equal = lookalikes.Reader(replace(reader.fitted, bigrams={}))
+    assert [equal.normal(t) for t in ("see", "ѕее")] == ["see", "see"]
+
+
+def test_paths_are_best(reader):
+    """The search against all paths of a few words."""
+    import itertools
 
-def test_script_choice():
-    assert READER.normal("окно \u0063игнал") == "окно сигнал"
-    assert READER.normal("text with сигнал inside") == "text with сигнал inside"
-    assert READER.normal("m\u0430rket") == "market" and READER.normal("") == ""
+    words = ["сор", "a", "see", "рар", "window", "о"]
+    offers = [reader.paths(w) for w in words]
+    value = lambda path: reader.fitted.shares[path[0]] + sum(offers[i][s][0] for i, s in enumerate(path)) - lookalikes.BETWEEN * sum(a != b for a, b in zip(path, path[1:]))
+    best = max(itertools.product(*offers), key=value)
+    got = [lookalikes.script_of(next(c for c in w)) for w in reader.chosen(words)]
+    assert value(got) == pytest.approx(value(best))
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="aceopxyАВСаесорхуо ABEHiіjһ.йё\u0301\u200b\u00a0", max_size=30), st.randoms(use_true_random=False))
-def test_swapping_shapes_changes_nothing(text, r):
-    rows = lookalikes.shapes()[0]
-    swapped = "".join(r.choice([x for x in rows[c] if x]) if c in rows else c for c in text)
-    assert READER.normal(text) == READER.normal(swapped)
+@given(text=st.text(alphabet="aceopxyАВСаесорхуо ABEHiіjһ.йё\u0301\u200b\u00a0", max_size=30), r=st.randoms(use_true_random=False))
+def test_swapping_shapes_changes_nothing(reader, text, r):
+    rows = {c: row for row in reader.fitted.shapes for c in row}
+    swapped = "".join(r.choice(rows[c]) if c in rows else c for c in text)
+    assert reader.normal(text) == reader.normal(swapped)
 
 
-def test_same_looking_pairs(spark):
+def test_same_looking_pairs(spark, reader):
     rows = [("c", 1, "market \u0430"), ("c", 2, "market a"), ("c", 2, "market a"), ("c", 3, "Market a"), ("c", 4, None), ("c", 5, None), ("k", 2, "market \u0430"), ("c", 6, "market a"), ("c", 7, ""), ("c", 8, "")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "tbl string, id bigint, text string, form string")
-    got = {tuple(r) for r in lookalikes.same_looking(df, READER.bigrams).collect()}
+    got = {tuple(r) for r in lookalikes.same_looking(df, reader.fitted).collect()}
     assert got == {("c", 1, 2), ("c", 1, 6)}
-    assert lookalikes.same_looking(df.limit(0), READER.bigrams).count() == 0
+    assert lookalikes.same_looking(df.limit(0), reader.fitted).count() == 0
 
 
 # splitting
