@@ -6,6 +6,9 @@ classes; text features (signs, lengths, separators, place, words of short lines)
 for every line, also where a page has no HTML. Two labels, main body and furniture;
 decoding is Viterbi over the non-blank lines of a content.
 
+Blocks are found by hashes of their letters, which are spans of the letters of the page,
+so a page costs time in proportion to its length, however deep it is.
+
 Training labels come from the pages themselves: blocks under ``main``/``article`` or a
 site's content selectors are main body, those under ``nav``, ``aside``, ``footer``,
 ``dialog`` or a site's selectors to remove are furniture, all others stay open (the
@@ -20,10 +23,10 @@ no labelled page at all, every line is main body.
 
 from __future__ import annotations
 
-import html as entities
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,6 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrine.llm.hashing import Sums, points_of
+from papyrine.operators import dom
+
 SAMPLE = 1200
 SIZE = 1 << 16
 STEPS = 120
@@ -39,11 +45,9 @@ PENALTY = 0.05
 
 MAIN_TAGS = frozenset(("main", "article"))
 FURNITURE_TAGS = frozenset(("nav", "aside", "footer", "dialog"))
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_UNREAD = frozenset(("head", "script", "style", "#comment"))
 _LEAF = frozenset("p a li h1 h2 h3 h4 h5 h6 td th dt dd pre blockquote figcaption caption summary".split())
 _INLINE = frozenset("a abbr b bdi bdo br cite code em font i img kbd mark q s small span strong sub sup u wbr".split())
-_TOKEN = re.compile(r"<!--.*?-->|<(script|style|head)\b.*?</\1\s*>|<(/?)([A-Za-z][A-Za-z0-9]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
-_CLASS = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _DIGIT = re.compile(r"\d")
 _MARKUP = re.compile(r"<[^<>]*>|\]\([^()\s]*\)")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -55,65 +59,110 @@ def letters(text: str) -> str:
     return "".join(filter(str.isalpha, unicodedata.normalize("NFKD", text).casefold()))
 
 
-def leaf_blocks(page: str) -> list[tuple[str, str, tuple[tuple[str, tuple[str, ...]], ...]]]:
-    """(letters, tag, ancestors with classes) of a page's leaf blocks, and of each block that holds links only, in order."""
-    out: list = []
-    stack: list[list] = []  # tag, classes, text parts, place in out, whether a block began inside
-
-    def close() -> None:
-        tag, classes, parts, _, _ = stack.pop()
-        text = "".join(parts)
-        if stack:
-            stack[-1][2].append(text)
-            stack[-1][4] = stack[-1][4] or tag not in _INLINE
-        if tag != "a" and tag in _INLINE or not text.strip():
-            return
-        key = letters(entities.unescape(text))
-        if key:
-            path = tuple((t, c) for t, c, *_ in stack if t not in ("html", "body") and t not in _INLINE)
-            out.append((key, tag, path if tag in _LEAF else (*path, (tag, classes))))
-
-    for m in _TOKEN.finditer(page):
-        if m[5]:
-            if stack:
-                stack[-1][2].append(m[5])
-        elif m[3]:
-            tag = m[3].lower()
-            if m[2]:
-                if any(s[0] == tag for s in stack):
-                    while stack[-1][0] != tag:
-                        close()
-                    close()
-            elif tag not in _VOID:
-                if tag in ("p", "li") or tag not in _INLINE:  # an open paragraph ends where a block begins
-                    while stack and stack[-1][0] in ("p", "a", *(("li",) if tag == "li" else ())):
-                        close()
-                found = _CLASS.findall(m[4]) if "=" in m[4] else []
-                stack.append([tag, tuple(x for g in found for x in "".join(g).split()), [], len(out), False])
-    while stack:
-        close()
-    return out
+class Place:
+    """An ancestor of blocks, with the ancestors above it."""
+
+    __slots__ = ("up", "tag", "classes", "first", "total")
+
+    def __init__(self, up: Place | None, tag: str, classes: tuple[str, ...]):
+        self.up, self.tag, self.classes, self.total = up, tag, classes, None
+        self.first: Place = up.first if up else self
+
+    def path(self) -> list[Place]:
+        """The ancestors from the innermost on."""
+        out, at = [], self
+        while at:
+            out.append(at)
+            at = at.up
+        return out
+
+    def names(self) -> list[str]:
+        """Features of this ancestor alone."""
+        out = [f"tag:{self.tag}"]
+        for c in self.classes:
+            out += [f"cls:{_stem(c)}", f"tagcls:{self.tag}.{_stem(c)}"]
+        return out
+
+    def score(self, weights: np.ndarray) -> float:
+        """Sum of the weights of all ancestors, kept for blocks in the same place."""
+        open_, at = [], self
+        while at and at.total is None:
+            open_.append(at)
+            at = at.up
+        total = at.total if at else 0.0
+        for at in reversed(open_):
+            total = at.total = total + float(weights[[feature(x) for x in at.names()]].sum())
+        return total
+
+
+Block = tuple[str, Place | None]
+
+
+def hashes_of(keys: list[str]) -> np.ndarray:
+    """Hash of each string, as ``Sums`` gives for an equal span of any text."""
+    ends = np.cumsum([len(k) for k in keys])
+    return Sums(points_of("".join(keys))).spans(np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
 
 
-def align(lines: list[str], page: str | None) -> list[tuple[str, tuple] | None]:
-    """(tag, ancestors) of the block each line comes from; later blocks for later lines where there is a choice."""
-    if not page:
+def leaf_blocks(page: str) -> tuple[np.ndarray, list[Block]]:
+    """Hashes of the letters of a page's blocks and links, and their (tag, place), in the order in which they end.
+
+    The letters of a block are one span of the letters of the page, so none is copied upwards.
+    """
+    spans: list[tuple[int, int]] = []
+    blocks: list[Block] = []
+    pieces: list[str] = []
+    size = 0
+    stack: list[tuple[dom.Node, Place | None, int]] = [(c, None, -1) for c in reversed(dom.parse(page, fragment=False).children)]
+    while stack:
+        n, place, start = stack.pop()
+        tag = n.tag
+        if start >= 0:
+            if size > start:
+                spans.append((start, size))
+                blocks.append((tag, place))
+        elif tag == "#text":
+            pieces.append(letters(n.text))
+            size += len(pieces[-1])
+        elif tag not in _UNREAD:
+            inline = tag in _INLINE
+            inner = place if inline or tag in ("html", "body") else Place(place, tag, tuple([*n.attrs.get("class", "").split(), *n.attrs.get("id", "").split()]))
+            if tag == "a" or not inline:
+                stack.append((n, place if inline or tag in _LEAF else inner, size))
+            stack.extend((c, inner, -1) for c in reversed(n.children))
+    if not spans:
+        return np.zeros(0, np.uint64), []
+    bounds = np.array(spans)
+    return Sums(points_of("".join(pieces))).spans(bounds[:, 0], bounds[:, 1]), blocks
+
+
+def align(lines: list[str], page: str | None) -> list[Block | None]:
+    """(tag, place) of the block each line comes from; later blocks for later lines where there is a choice."""
+    if not page or not lines:
         return [None] * len(lines)
-    blocks = leaf_blocks(page)
-    places: dict[str, list[int]] = {}
-    for i, (key, _, _) in enumerate(blocks):
-        places.setdefault(key, []).append(i)
-    out: list[tuple[str, tuple] | None] = []
+    keys, blocks = leaf_blocks(page)
+    places: dict[int, tuple[list[int], list[int], list[int]]] = {}  # of all blocks, of links, of others
+    for i, key in enumerate(keys.tolist()):
+        found = places.setdefault(key, ([], [], []))
+        found[0].append(i)
+        found[1 if blocks[i][0] == "a" else 2].append(i)
+    whole = [letters(x) for x in lines]
+    bare = [letters(_MARKUP.sub("", x)) if "<" in x or "](" in x else "" for x in lines]
+    sums = hashes_of([*whole, *bare]).tolist()
+    out: list[Block | None] = []
     at = -1
-    for line in lines:
-        found = places.get(letters(line)) or (places.get(letters(_MARKUP.sub("", line))) if "<" in line or "](" in line else None)
+    for k, line in enumerate(lines):
+        found = places.get(sums[k]) if whole[k] else None
+        found = found or (places.get(sums[len(lines) + k]) if bare[k] else None)
         if not found:
             out.append(None)
             continue
-        listed = _ITEM.match(line) is not None
-        i = min(found, key=lambda i: (blocks[i][1] == "a" and not listed, i <= at, i))
-        at = max(at, i) if blocks[i][1] != "a" else at
-        out.append(blocks[i][1:])
+        own = found[0] if _ITEM.match(line) else found[2] or found[1]
+        j = bisect_right(own, at)
+        i = own[j if j < len(own) else 0]
+        if blocks[i][0] != "a":
+            at = max(at, i)
+        out.append(blocks[i])
     return out
 
 
@@ -170,55 +219,72 @@ def text_features(line: str, at: int, of: int, shorts: tuple[bool, bool]) -> lis
     return out
 
 
-def dom_features(block: tuple[str, tuple] | None) -> list[str]:
+def dom_features(block: Block | None) -> list[str]:
+    """Names of the features a line has from its own block."""
     if block is None:
         return ["dom:none"]
-    tag, path = block
-    out = [f"leaf:{tag}"]
-    for t, classes in path:
-        out.append(f"tag:{t}")
-        for c in classes:
-            out.append(f"cls:{_stem(c)}")
-            out.append(f"tagcls:{t}.{_stem(c)}")
-    return out
+    tag, place = block
+    return [f"leaf:{tag}", *(x for p in (place.path() if place else []) for x in p.names())]
+
+
+def near_features(blocks: list[Block | None]) -> list[list[str]]:
+    """Features that a line without a block has from the nearest blocks before and after it."""
+
+    def nearest(order) -> list[Block | None]:
+        out, last = [None] * len(blocks), None
+        for k in order:
+            out[k] = last
+            last = blocks[k] or last
+        return out
 
+    before, after = nearest(range(len(blocks))), nearest(range(len(blocks) - 1, -1, -1))
 
-def rows_of(content: str, page: str | None) -> tuple[list[int], list[list[int]], list[list[int]], list]:
-    """Line numbers (from 1) of the non-blank lines, their text and DOM feature ids, and their blocks."""
+    def names(k: int) -> list[str]:
+        out = []
+        for j, near in enumerate((before[k], after[k])):
+            if near is not None:
+                first = near[1].first if near[1] else None
+                out.append(f"near{j}:{first.tag if first else ''}:{_stem(first.classes[0]) if first and first.classes else ''}")
+        return out
+
+    return [[] if b is not None else names(k) for k, b in enumerate(blocks)]
+
+
+def rows_of(content: str, page: str | None) -> tuple[list[int], list[list[int]], list[Block | None]]:
+    """Line numbers (from 1) of the non-blank lines, their text feature ids, and their blocks."""
     numbered = [(i, x) for i, x in enumerate(content.split("\n"), 1) if x.strip()]
     lines = [x for _, x in numbered]
     short = [len(x) < 90 for x in lines]
-    blocks = align(lines, page)
-    text, dom = [], []
+    text = []
     for k, line in enumerate(lines):
         shorts = (k > 0 and short[k - 1], k + 1 < len(lines) and short[k + 1])
         text.append([feature(x) for x in text_features(line, k, len(lines), shorts)])
-        dom.append([feature(x) for x in dom_features(blocks[k])])
-    if page:  # a line that is not aligned sees its neighbours' blocks
-        for k, b in enumerate(blocks):
-            if b is None:
-                near = [next((x for x in side if x is not None), None) for side in (blocks[k - 1 :: -1] if k else [], blocks[k + 1 :])]
-                dom[k] += [feature(f"near{j}:{x[1][0][0] if x[1] else ''}:{_stem(x[1][0][1][0]) if x[1] and x[1][0][1] else ''}") for j, x in enumerate(near) if x is not None]
-    return [i for i, _ in numbered], text, dom, blocks
+    return [i for i, _ in numbered], text, align(lines, page)
 
 
-def selects(selector: str, path: tuple) -> bool:
+def dom_ids(blocks: list[Block | None]) -> list[list[int]]:
+    """DOM feature ids of each line."""
+    return [[feature(x) for x in (*dom_features(b), *near)] for b, near in zip(blocks, near_features(blocks))]
+
+
+def selects(selector: str, path: list[Place]) -> bool:
     """Whether a simple selector (tag, .class, #id, tag.class) matches one of the ancestors."""
     tag, _, rest = re.sub(r"[.#]", "\0", selector.strip(), count=1).partition("\0")
     wanted = set(re.split(r"[.#]", rest)) - {""}
-    return bool(tag or wanted) and not re.search(r"[\s>+~:\[]", selector.strip()) and any((not tag or t == tag.lower()) and wanted <= set(c) for t, c in path)
+    return bool(tag or wanted) and not re.search(r"[\s>+~:\[]", selector.strip()) and any((not tag or p.tag == tag.lower()) and wanted <= set(p.classes) for p in path)
 
 
-def label(block, keep: list[str], drop: list[str]) -> int:
+def label(block: Block | None, keep: list[str], drop: list[str]) -> int:
     """1 furniture, 0 main body, -1 open."""
     if block is None:
         return -1
-    tags = {t for t, _ in block[1]}
+    path = block[1].path() if block[1] else []
+    tags = {p.tag for p in path}
     if tags & FURNITURE_TAGS:
         return 1
-    if tags & MAIN_TAGS or any(selects(s, block[1]) for s in keep):
+    if tags & MAIN_TAGS or any(selects(s, path) for s in keep):
         return 0
-    return 1 if any(selects(s, block[1]) for s in drop) else -1
+    return 1 if any(selects(s, path) for s in drop) else -1
 
 
 class Field:
@@ -232,6 +298,13 @@ class Field:
         flat = np.concatenate([[0.0], np.cumsum(self.weights[np.fromiter((x for f in features for x in f), dtype=np.int64, count=int(ends[-1]))])])
         return flat[ends] - flat[np.concatenate([[0], ends[:-1]])]
 
+    def dom_scores(self, blocks: list[Block | None]) -> np.ndarray:
+        """Scores of ``dom_ids``, each ancestor added up once."""
+        near = [sum(float(self.weights[feature(x)]) for x in names) for names in near_features(blocks)]
+        none = float(self.weights[feature("dom:none")])
+        own = [none if b is None else float(self.weights[feature(f"leaf:{b[0]}")]) + (b[1].score(self.weights) if b[1] else 0.0) for b in blocks]
+        return np.array(own) + np.array(near)
+
     def decode(self, scores: list[float]) -> list[int]:
         """The most likely labels of one content."""
         (mm, mf), (fm, ff) = self.moves.tolist()
@@ -321,10 +394,10 @@ def fit(contents: DataFrame, pages: DataFrame, options: DataFrame, removals: Dat
     drop = {r.site_id: r.css_selectors_to_remove or [] for r in removals.filter(F.col("site_id").isin(site_ids)).select("site_id", "css_selectors_to_remove").collect()}
     read = []
     for r in sorted({r.content_id: r for r in own}.values(), key=lambda r: r.content_id):
-        _, text, dom, blocks = rows_of(r.content, html.get(r.page_id))
+        _, text, blocks = rows_of(r.content, html.get(r.page_id))
         y = [label(b, [s for s in keep.get(r.site_id, []) if s], [s for s in drop.get(r.site_id, []) if s]) for b in blocks]
         if any(x >= 0 for x in y):
-            read += [([t + d for t, d in zip(text, dom)], y), (text, y)]
+            read += [([t + d for t, d in zip(text, dom_ids(blocks))], y), (text, y)]
     return train(read)
 
 
@@ -339,12 +412,12 @@ def labelled(contents: DataFrame, pages: DataFrame, field: Field) -> DataFrame:
         for b in batches:
             gone, kept = [], []
             for content, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                numbers, text, dom, _ = rows_of(content, page)
+                numbers, text, blocks = rows_of(content, page)
                 if not numbers:
                     gone.append([])
                     kept.append(content)
                     continue
-                scores = own.scores([t + d for t, d in zip(text, dom)] if page else text)
+                scores = own.scores(text) + own.dom_scores(blocks) if page else own.scores(text)
                 out = {i for i, y in zip(numbers, own.decode(scores.tolist())) if y}
                 gone.append(sorted(out))
                 kept.append("\n".join(x for i, x in enumerate(content.split("\n"), 1) if i not in out))
