@@ -37,21 +37,19 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    bound_arrow_batches(spark)
     return _repeated(spark, folder).select("content_id", "line_no")
 
 
 def p3_lines(spark: SparkSession, folder: str) -> DataFrame:
-    bound_arrow_batches(spark)
     return site_lines.site_list(table(spark, folder, "page_contents"), _repeated(spark, folder))
 
 
 def p3_cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    bound_arrow_batches(spark)
     return site_lines.without_lines(table(spark, folder, "page_contents"), _repeated(spark, folder))
 
 
 def _repeated(spark: SparkSession, folder: str) -> DataFrame:
+    bound_arrow_batches(spark, 1000, 4)  # some hundred bytes of arrays for each letter of a batch
     return site_lines.repeated_lines(table(spark, folder, "page_contents"), table(spark, folder, "pages"))
 
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
@@ -39,7 +40,7 @@ _FENCE = re.compile(r"^[ \t]*(```+|~~~+)")
 _ITEM = re.compile(r"^[ \t]*(?:[-*+•·][ \t]|\d{1,9}[.)][ \t]|[*#:;]+[ \t]|\\item\b|<li\b)")
 _TABLE = re.compile(r"^[ \t]*(?:\||\{\||\|\}|<t[rdh]\b)")
 _QUOTE = re.compile(r"^[ \t]*>")
-_SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|(?<=[。！？])")
+_SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|(?<=[。！？])\s*")
 _WORD = re.compile(r"\s+")
 
 Span = tuple[int, int]
@@ -106,11 +107,17 @@ def fenced(text: str) -> list[Span]:
     return [*out, (began, len(text))] if mark else out
 
 
+def fence_at(code: list[Span], at: int) -> int | None:
+    """The number of the fenced code that holds a place."""
+    k = bisect_right(code, at, key=lambda s: s[0]) - 1
+    return k if k >= 0 and at < code[k][1] else None
+
+
 def sections(text: str, span: Span, code: list[Span], level: int = 0) -> list[Span]:
     """The preface and the sections of the highest heading level in the span below ``level``."""
     found = []
     for m in _HEADING.finditer(text, *span):
-        if not any(a <= m.start() < b for a, b in code):
+        if fence_at(code, m.start()) is None:
             rank = len(m[1]) if m[1] else len(m[2]) if m[2] else int(m[3]) if m[3] else _LATEX_LEVEL[m[4]]
             found.append((rank, m.start()))
     inner = [(r, p) for r, p in found if p > span[0]]
@@ -126,7 +133,7 @@ def blocks(text: str, span: Span, code: list[Span]) -> list[Span]:
     last, blank = None, False
     for a, b in lines_of(text, span):
         line = text[a:b]
-        held = next((k for k, (s, e) in enumerate(code) if s <= a < e), None)
+        held = fence_at(code, a)
         kind = ("code", held) if held is not None else "list" if _ITEM.match(line) else "table" if _TABLE.match(line) else "quote" if _QUOTE.match(line) else "text"
         empty = held is None and not line.strip()
         if out and (empty or (kind == last and (not blank or kind == "list" or held is not None)) or (last == "list" and kind == "text" and line[:1] in " \t")):
@@ -198,6 +205,18 @@ def pack(text: str, room: int, measure: Measure) -> list[Span]:
     return opened((0, len(text)), 0)
 
 
+def filled(text: str, spans: list[Span], room: int, overlap: int, measure: Measure) -> list[Span]:
+    """The first span of at least ``overlap`` characters: a shorter one takes from the next up to the highest boundary that suffices."""
+    if len(spans) < 2 or spans[0][1] >= overlap:
+        return spans
+    (a, b), rest, code = spans[1], spans[2:], fenced(text)
+    for level in (blocks, items, sentences, words, characters):
+        ends = [e for _, e in level(text, (a, b), code) if overlap <= e and measure(0, e) <= room]
+        if ends:
+            return [(0, ends[-1]), *([(ends[-1], b)] if ends[-1] < b else []), *rest]
+    return spans
+
+
 def shorten(breadcrumb: str, limit: int) -> str:
     """The breadcrumb in at most half the limit, two characters left at least: without its outermost headings, then without its first characters."""
     most = max(0, min(limit // 2, limit - 2))
@@ -217,7 +236,7 @@ def split(text: str, limit: int, overlap: int = 0, breadcrumb: str = "") -> list
     measure = Measure(text)
     if measure(0, len(text)) <= room:
         return [(crumb, 0, len(text))]
-    spans = pack(text, room - overlap, measure)
+    spans = filled(text, pack(text, room - overlap, measure), room - overlap, overlap, measure)
     return [(crumb, max(0, a - overlap) if k else a, b) for k, (a, b) in enumerate(spans)]
 
 
@@ -240,8 +259,9 @@ def pieces(chunks: DataFrame, options: DataFrame) -> DataFrame:
                 if text is None:
                     continue
                 crumb = crumb or ""
-                over = size(f"{crumb}\n\n{text}" if crumb.strip() else text) > limit
-                for no, (head, a, z) in enumerate(split(text, limit, overlap, crumb) if over else [(crumb, 0, len(text))]):
+                made = split(text, limit, overlap, crumb)
+                over = made != [(crumb, 0, len(text))]  # packing left the chunk as it is only if it fits
+                for no, (head, a, z) in enumerate(made):
                     part = text[a:z]
                     rows.append((key, over, no, head, part, a, z, size(f"{head}\n\n{part}" if head.strip() else part)))
             names = ["chunk_id", "oversized", "piece_no", "breadcrumb", "text", "span_start", "span_end", "size"]
