@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from papyrine.functions import url_rules
 from papyrine.functions.url_rules import IMAGE_SCHEMES, LINK_SCHEMES, PROXY_PREFIX
 
-_TRIM = r"(?U)^\s+|(?<!\s)\s+\z"
+TRIM = r"(?U)^\s+|(?<!\s)\s+\z"
 
 
 def trimmed(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, _TRIM, "")
+    return F.regexp_replace(c, TRIM, "")
 
 
 def is_external_http(url: Column) -> Column:

@@ -22,11 +22,42 @@ VERSION = "1"
 THRESHOLD = 0.95
 SCHEMA = "struct<score double, error string>"
 
+#: How failures are told; a scorer that raises ``PredictionError`` failed on a text, any other error is a crash.
+PREDICTION_FAILED = "slop detector prediction failed: "
+UNAVAILABLE = "slop detector unavailable: upstream detector panicked while loading the model or predicting: "
+
 Scorer = Callable[[Sequence[str]], Sequence[float]]
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.!?。]+\s*")
 
 
+class PredictionError(Exception):
+    """Raised by a scorer that cannot score a text."""
+
+
+def failure(e: BaseException) -> str:
+    return PREDICTION_FAILED + str(e) if isinstance(e, PredictionError) else UNAVAILABLE + (str(e) or "unknown panic")
+
+
+def scored(texts: list[str], scorer: Callable[[], Scorer], made: dict[str, Scorer]) -> list[dict]:
+    """Score or error of each text: one call for all, and one for each text only if that fails."""
+    one = lambda x: {"score": float(np.float32(x)), "error": None}
+    try:
+        model = made.get("it") or made.setdefault("it", scorer())
+    except Exception as e:  # noqa: BLE001
+        return [{"score": None, "error": failure(e)} for _ in texts]
+    try:
+        return [one(x) for _, x in zip(texts, model(texts), strict=True)]
+    except Exception:  # noqa: BLE001
+        out = []
+        for t in texts:
+            try:
+                out.append(one(model([t])[0]))
+            except Exception as e:  # noqa: BLE001
+                out.append({"score": None, "error": failure(e)})
+        return out
+
+
 def baseline() -> Scorer:
     """Even sentences of repeated words score high."""
 
@@ -56,24 +87,17 @@ def check_threshold(threshold: float) -> float:
 def detect_ai_generated_text(text: Column, threshold: float = THRESHOLD, scorer: Callable[[], Scorer] = baseline, detector: str = DETECTOR, version: str = VERSION) -> Column:
     """``struct<flagged, confidence_score, confidence_threshold, classification, detector, detector_model_version, error>``.
 
-    Null text gives a null struct; a scorer that fails gives nulls and its message in ``error``.
+    Null text gives a null struct; a scorer that fails gives nulls and its message in ``error``. The scorer reads a whole Arrow batch at once.
     """
     limit = check_threshold(threshold)
     made: dict[str, Scorer] = {}
 
     @F.arrow_udf(SCHEMA)
     def run(v: pa.Array) -> pa.Array:
-        one = made.get("it") or made.setdefault("it", scorer())
-        out = []
-        for x in v.to_pylist():
-            if x is None:
-                out.append(None)
-                continue
-            try:
-                out.append({"score": float(np.float32(one([x])[0])), "error": None})
-            except Exception as e:  # noqa: BLE001
-                out.append({"score": None, "error": f"Slop detection failed: {e}"})
-        return pa.array(out, pa.struct([("score", pa.float64()), ("error", pa.string())]))
+        texts = v.to_pylist()
+        known = [x for x in texts if x is not None]
+        done = iter(scored(known, scorer, made) if known else [])
+        return pa.array([None if x is None else next(done) for x in texts], pa.struct([("score", pa.float64()), ("error", pa.string())]))
 
     got = run(text)
     score = got["score"]

@@ -80,6 +80,16 @@ class Node:
         return self.attrs.get("class", "").split()
 
 
+def detach(nodes: list[Node]) -> None:
+    """Detach nodes; the children of each parent are gone through once."""
+    parents = {id(n.parent): n.parent for n in nodes if n.parent is not None}
+    gone = {id(n) for n in nodes}
+    for p in parents.values():
+        p.children = [c for c in p.children if id(c) not in gone]
+    for n in nodes:
+        n.parent = None
+
+
 def decode_text(text: str, attribute: bool = False) -> str:
     """References of a text or an attribute value, as the HTML standard reads them."""
     if "&" not in text:

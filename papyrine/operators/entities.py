@@ -42,33 +42,58 @@ ANY_CASE = {
 }
 
 
-@lru_cache(maxsize=1)
-def _lower() -> dict[str, str]:
-    """Lower-case names that stand for one thing in every spelling."""
-    seen: dict[str, set[str]] = {}
-    for name, text in html5.items():
-        seen.setdefault(name.lower(), set()).add(text)
-    return {name: texts.pop() for name, texts in seen.items() if len(texts) == 1}
+#: What can follow ``&``: a name or number that ends, or letters and digits that do not.
+_BODY = re.compile(r"([A-Za-z][0-9A-Za-z]*+;)|#(?:([0-9]++)|[xX]([0-9A-Fa-f]++));|([0-9A-Za-z]++)(?!;)")
 
 
-@lru_cache(maxsize=1)
-def _pattern() -> re.Pattern:
-    legacy = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
-    return re.compile(rf"&(?:(?P<name>[A-Za-z][0-9A-Za-z]*;)|#(?P<dec>[0-9]+);|#[xX](?P<hex>[0-9A-Fa-f]+);|(?P<legacy>(?ai:{'|'.join(legacy)}))(?P<tail>[^0-9A-Za-z;]|\Z))", re.S)
+class _Names(dict):
+    """Meanings of names as they are spelled; others are looked up once and kept."""
 
+    def __init__(self) -> None:
+        super().__init__(html5)
+        spelled: dict[str, set[str]] = {}
+        for name, meaning in html5.items():
+            spelled.setdefault(name.lower(), set()).add(meaning)
+        self.any_case = {name: next(iter(meanings)) for name, meanings in spelled.items() if len(meanings) == 1} | ANY_CASE
+        self.endless = {name.lower() for name in html5 if not name.endswith(";")}
 
-def _named(name: str) -> str | None:
-    if name in html5:
-        return html5[name]
-    low = name.lower()
-    return ANY_CASE.get(low) or _lower().get(low)
+    def __missing__(self, name: str) -> str | None:
+        return self.any_case.get(name.lower())
 
 
-def _replacement(m: re.Match) -> str:
-    if m["dec"] or m["hex"]:
-        return (scalar(m["dec"], 10) if m["dec"] else scalar(m["hex"], 16)) or m[0]
-    found = _named(m["name"] or m["legacy"])
-    return m[0] if found is None else found + (m["tail"] or "")
+@lru_cache(maxsize=1)
+def _names() -> _Names:
+    return _Names()
+
+
+def _one_pass(text: str, blank: bool = False) -> str:
+    """Each reference replaced by what it stands for, or by a space; unknown ones stay unless blanked.
+
+    What stands between two ampersands is read from its start. A name without end
+    takes the sign after it along: if that is an ampersand, it starts nothing in this pass.
+    """
+    names = _names()
+    first, *pieces = text.split("&")
+    out, taken = [first], False
+    for k, piece in enumerate(pieces):
+        m = None if taken else _BODY.match(piece)
+        taken = False
+        if m is None or m[4] and m[4].lower() not in names.endless:
+            out.append("&" + piece)
+            continue
+        if blank:
+            meaning = " "
+        elif m[2] or m[3]:
+            meaning = scalar(m[2], 10) if m[2] else scalar(m[3], 16)
+        else:
+            meaning = names[m[1] or m[4]]
+        out.append(("&" + m[0] if meaning is None else meaning) + piece[m.end() :])
+        taken = m[4] is not None and m.end() == len(piece) and k + 1 < len(pieces)
+    return "".join(out)
+
+
+def _size(text: str) -> int:
+    return max(1, len(text.encode("utf-8", "surrogatepass")))
 
 
 def decode(text: str) -> str:
@@ -76,18 +101,13 @@ def decode(text: str) -> str:
 
     What is left then becomes a space. The first pass always runs.
     """
-    pattern, first = _pattern(), True
     size = len(text.encode("utf-8", "surrogatepass"))
-    work = max(min(max(WORK_FACTOR * size, LEAST_WORK), MOST_NESTED_WORK), FULL_PASSES * size)
-    while pattern.search(text):
-        cost = max(1, len(text.encode("utf-8", "surrogatepass")))
-        if not first and work < cost:
-            return pattern.sub(lambda m: " " + (m["tail"] or ""), text)
-        work = max(0, work - cost)
-        after = pattern.sub(_replacement, text)
-        if after == text:
-            break
-        text, first = after, False
+    left = max(FULL_PASSES * size, min(MOST_NESTED_WORK, max(LEAST_WORK, WORK_FACTOR * size)))
+    while (after := _one_pass(text)) != text:
+        left -= _size(text)
+        if left < _size(after):
+            return _one_pass(after, blank=True)
+        text = after
     return text
 
 

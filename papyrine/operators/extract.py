@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.functions.urls import trimmed
+from papyrine.functions.urls import TRIM
 from papyrine.operators import dom
 
 SKIPPED = frozenset("script style noscript template iframe object embed svg math head canvas select textarea input button".split())
@@ -49,16 +49,14 @@ def outer_key(html: str) -> str:
 
 def remove(root: dom.Node, selectors: list[str], snippets: list[str]) -> None:
     """Detach all nodes that a selector or a snippet names."""
-    for n in dom.select(root, selectors):
-        n.detach()
+    dom.detach(dom.select(root, selectors))
     wanted: dict[str, set[str]] = {}
     for s in snippets:
         if s and (first := dom.parse(s).children) and first[0].tag[0] != "#":
             wanted.setdefault(first[0].tag, set()).add(outer_key(s))
     if wanted:
-        for n in [n for n in root.elements() if n.tag in wanted]:
-            if re.sub(r"\s*(<[^>]*>)\s*", r"\1", collapse(dom.serialize(n, own=True))) in wanted[n.tag]:
-                n.detach()
+        named = [n for n in root.elements() if n.tag in wanted]
+        dom.detach([n for n in named if re.sub(r"\s*(<[^>]*>)\s*", r"\1", collapse(dom.serialize(n, own=True))) in wanted[n.tag]])
 
 
 def apply_removals(html: str, selectors: list[str], snippets: list[str]) -> str:
@@ -70,6 +68,7 @@ def apply_removals(html: str, selectors: list[str], snippets: list[str]) -> str:
 def markdown_of(root: dom.Node) -> str:
     """Markdown of a tree: headings, lists, quotes, code, tables, links, images, emphasis."""
     out: list[str] = []
+    blocky, tabled, full, number = _flags(root)
     pending = ""
     prefix: list[str] = []
     bullet: list[str] = []
@@ -110,7 +109,7 @@ def markdown_of(root: dom.Node) -> str:
                     href = x.attrs["href"].strip().replace(" ", "%20").replace("(", "%28").replace(")", "%29")
                     text.append("[")
                     stack.append(f"]({href})")
-                elif marks and x.text_content().strip():
+                elif marks and id(x) in full:
                     text.append(marks)
                     stack.append(marks)
                 stack.extend(reversed(x.children))
@@ -146,7 +145,7 @@ def markdown_of(root: dom.Node) -> str:
             if code.strip():
                 fence = "```" if "```" not in code else "````"
                 flush(f"{fence}\n{code}\n{fence}")
-        elif tag == "table" and not any(x.tag == "table" for x in n.elements()):
+        elif tag == "table" and id(n) not in tabled:
             flush()
             rows = [[collapse(inline_children(c, inline)).replace("|", "\\|") for c in r.children if c.tag in ("td", "th")] for r in n.elements() if r.tag == "tr"]
             rows = [r for r in rows if any(r)]
@@ -163,14 +162,14 @@ def markdown_of(root: dom.Node) -> str:
             flush()
             if tag == "li":
                 parent = n.parent.tag if n.parent is not None else "ul"
-                mark = f"{1 + sum(1 for c in n.parent.children[: n.parent.children.index(n)] if c.tag == 'li')}. " if parent == "ol" else "- "
+                mark = f"{number[id(n)]}. " if parent == "ol" else "- "
                 prefix.append(" " * len(mark))
                 bullet.append(mark)
             elif tag == "blockquote":
                 prefix.append("> ")
             stack.append((n, 1))
             stack.extend((c, 0) for c in reversed(n.children))
-        elif any(c.tag in BLOCKS for c in n.elements()):
+        elif id(n) in blocky:
             stack.extend((c, 0) for c in reversed(n.children))
         else:
             pending += inline(n)
@@ -182,6 +181,29 @@ def markdown_of(root: dom.Node) -> str:
     return joined
 
 
+def _flags(root: dom.Node) -> tuple[set[int], set[int], set[int], dict[int, int]]:
+    """Nodes with blocks inside, with tables inside, with text; and the number of each item among its siblings: one walk for all."""
+    blocky, tabled, full, number = set(), set(), set(), {}
+    for n in reversed(list(root.walk())):
+        up = n.parent
+        if n.tag == "#text":
+            if n.text.strip():
+                full.add(id(up))
+            continue
+        if n.tag in BLOCKS or id(n) in blocky:
+            blocky.add(id(up))
+        if n.tag == "table" or id(n) in tabled:
+            tabled.add(id(up))
+        if id(n) in full:
+            full.add(id(up))
+    for n in (root, *root.elements()):
+        items = 0
+        for c in n.children:
+            if c.tag == "li":
+                number[id(c)] = items = items + 1
+    return blocky, tabled, full, number
+
+
 def inline_children(n: dom.Node, inline) -> str:
     return "".join(inline(c) for c in n.children)
 
@@ -191,9 +213,8 @@ def _prepare(root: dom.Node, o: ConvertOptions) -> None:
     texts, hrefs = {collapse(x) for x in o.link_text_content_to_remove if x}, {x.strip() for x in o.link_hrefs_to_remove if x}
     rels = {x.strip().lower() for x in o.link_rel_tokens_to_remove if x}
     if texts or hrefs or rels:
-        for a in [n for n in root.elements() if n.tag == "a"]:
-            if collapse(a.text_content()) in texts or a.attrs.get("href", "").strip() in hrefs or rels & set(a.attrs.get("rel", "").lower().split()):
-                a.detach()
+        named = [n for n in root.elements() if n.tag == "a"]
+        dom.detach([a for a in named if collapse(a.text_content()) in texts or a.attrs.get("href", "").strip() in hrefs or rels & set(a.attrs.get("rel", "").lower().split())])
     if o.use_text_density_filter:
         total: dict[int, int] = {}
         linked: dict[int, int] = {}
@@ -204,9 +225,8 @@ def _prepare(root: dom.Node, o: ConvertOptions) -> None:
             else:
                 total[id(n)] = sum(total[id(c)] for c in n.children)
                 linked[id(n)] = total[id(n)] if n.tag == "a" else sum(linked.get(id(c), 0) for c in n.children)
-        for n in order:
-            if n.tag in dom.ENDS_PARAGRAPH and n.tag not in dom.HEADINGS and n.tag not in ("main", "article") and total[id(n)] >= DENSITY_LEAST and linked[id(n)] > LINK_SHARE * total[id(n)]:
-                n.detach()
+        kept = (*dom.HEADINGS, "main", "article")
+        dom.detach([n for n in order if n.tag in dom.ENDS_PARAGRAPH and n.tag not in kept and total[id(n)] >= DENSITY_LEAST and linked[id(n)] > LINK_SHARE * total[id(n)]])
 
 
 def content_of(html: str, options: ConvertOptions = ConvertOptions()) -> dict:
@@ -282,11 +302,20 @@ def get_content_from_html(html: Column, options: ConvertOptions | Column = Conve
     return each(html, options)
 
 
+#: Images, links and reference definitions as they are collapsed, in this order; then white space at both ends.
+COLLAPSING = (
+    (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"(?md)^\[[^\]]+\]:[^\n]*\n?", ""),
+    (TRIM, ""),
+)
+
+
 def collapse_markdown(c: Column) -> Column:
     """Images and links to their text, reference definitions gone: native."""
-    c = F.regexp_replace(c, r"!\[([^\]]*)\]\([^)]*\)", "$1")
-    c = F.regexp_replace(c, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    return trimmed(F.regexp_replace(c, r"(?md)^\[[^\]]+\]:[^\n]*\n?", ""))
+    for pattern, to in COLLAPSING:
+        c = F.regexp_replace(c, pattern, to)
+    return c
 
 
 def html_to_embedding_text(html: Column) -> Column:

@@ -30,16 +30,24 @@ STRUCTURAL_TAGS = (
 ).split()
 
 _SEP = r"[\s\x{E000}\x{E001}]++"
-_DET = rf"(?:(?:the|your|my|our){_SEP})"
-_WHAT = r"(?:instructions?|prompts?)"
 _REST = r"""(?:"[^"]*+"|'[^']*+'|[^>"']++)*+"""
+
+
+def _word(*choices: str) -> str:
+    """One of the words with the space after it."""
+    return f"(?:{'|'.join(choices)}){_SEP}"
+
+
+#: Words that say whose instructions, and what is to be dropped.
+_WHOSE = _word("the", "your", "my", "our")
+_WHAT = "(?:instruction|prompt)s?"
+#: Phrases: a verb, how much of it, whose, and what.
+_EARLIER = f"(?:{_word('all')})?(?:{_WHOSE})?{_word('previous')}"
+_EVERY = f"{_word('all')}(?:{_WHOSE})?"
+_ANY = f"(?:{_WHOSE})*+(?:{_word('all', 'previous')})++(?:{_WHOSE})?"
 PHRASES = (
-    rf"ignore(?:{_SEP}all)?{_SEP}{_DET}?previous{_SEP}{_WHAT}",
-    rf"ignore{_SEP}all{_SEP}{_DET}?{_WHAT}",
-    rf"forget{_SEP}{_DET}*+(?:(?:all|previous){_SEP})++{_DET}?(?:instructions?|prompts?|above)",
-    rf"forget{_SEP}everything{_SEP}above",
-    rf"disregard{_SEP}(?:all{_SEP})?{_DET}?previous{_SEP}{_WHAT}",
-    rf"disregard{_SEP}all{_SEP}{_DET}?{_WHAT}",
+    f"{_word('ignore', 'disregard')}(?:{_EARLIER}|{_EVERY}){_WHAT}",
+    f"{_word('forget')}(?:{_ANY}(?:{_WHAT}|above)|{_word('everything')}above)",
 )
 #: Control tokens of chat formats.
 TOKENS = ("im_start", "im_end", "begin_of_text", "start_header_id", "end_header_id", "eot_id")
@@ -52,6 +60,15 @@ TAG = rf"<(?=/?([A-Za-z][^\t\n\f\r >/]*+))/?[A-Za-z]{_REST}>"
 ROLE = r"(?imdU)(^[^\S\n]*+(?:\x{E000}[^\S\n]*+)*+|(?:\G|(?<![^\S\n]))[^\S\n]*+\x{E001}(?:[^\S\n]*+\x{E000})*+[^\S\n]*+)(?:system|assistant):[^\S\n]*+"
 LABEL = r"(?iU)(?:system|assistant):"
 HORIZONTAL = r"(?U)[^\S\n]++"
+SPACE = r"(?U)\s++"
+BLANK_LINES = r"\n{3,}"
+#: Comments and tags become signs between spaces, in these steps; what is no tag stays.
+MARKUP_STEPS = (
+    (COMMENT, f" {B} "),
+    (TAG, f"{B}{R}$1{R}{B}"),
+    (rf"(?i){B}{R}(?:{'|'.join(STRUCTURAL_TAGS)}){R}{B}", f" {R} "),
+    (f"{B}{R}[^{B}{R}]*+{R}{B}", f" {B} "),
+)
 
 
 def strip_phrases(c: Column) -> Column:
@@ -59,11 +76,9 @@ def strip_phrases(c: Column) -> Column:
 
 
 def strip_markup(c: Column) -> Column:
-    """Comments and tags become signs between spaces; what is no tag stays."""
-    c = F.regexp_replace(c, COMMENT, f" {B} ")
-    c = F.regexp_replace(c, TAG, f"{B}{R}$1{R}{B}")
-    c = F.regexp_replace(c, rf"(?i){B}{R}(?:{'|'.join(STRUCTURAL_TAGS)}){R}{B}", f" {R} ")
-    return F.regexp_replace(c, f"{B}{R}[^{B}{R}]*+{R}{B}", f" {B} ")
+    for pattern, to in MARKUP_STEPS:
+        c = F.regexp_replace(c, pattern, to)
+    return c
 
 
 def let(c: Column, body: Callable[[Column], Column]) -> Column:
@@ -79,8 +94,8 @@ def strip_roles(c: Column) -> Column:
 def collapse(c: Column, title: bool) -> Column:
     """White space collapsed; what is left of it at the ends is spaces and line feeds."""
     if title:
-        return F.btrim(F.regexp_replace(c, r"(?U)\s++", " "))
-    return F.btrim(F.regexp_replace(F.regexp_replace(c, HORIZONTAL, " "), r"\n{3,}", "\n\n"), F.lit(" \n"))
+        return F.btrim(F.regexp_replace(c, SPACE, " "))
+    return F.btrim(F.regexp_replace(F.regexp_replace(c, HORIZONTAL, " "), BLANK_LINES, "\n\n"), F.lit(" \n"))
 
 
 def sanitize_decoded(c: Column, title: bool = False) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 from functools import lru_cache
 
@@ -13,25 +12,23 @@ from pyspark.sql import functions as F
 from papyrine.functions.url_rules import is_safe_image, is_safe_link
 from papyrine.operators.markdown import Md, parse
 
-#: The public suffix list of the system; where the file is missing, ``FALLBACK`` and two-letter domains stand in for it.
+#: The public suffix list of the system: a parameter, read on the driver and sent along, so all workers use one list.
 SUFFIX_FILE = "/usr/share/publicsuffix/public_suffix_list.dat"
-#: Common generic domains.
-FALLBACK = "com net org info biz name pro edu gov mil int app dev io xyz online site shop blog news tech cloud live store wiki page link gg".split()
 SCHEMA = "struct<link_urls array<string>, image_urls array<string>>"
 
 _DOMAIN = re.compile(r"(?ai:\b([a-z0-9][a-z0-9-]*(?:\.[a-z0-9][a-z0-9-]+)+))(/\S*)?")
 _SKIPPED = frozenset("code code_block html html_block link image".split())
 
 
+Suffixes = tuple[frozenset[str], frozenset[str], frozenset[str]]
+
+
 @lru_cache(maxsize=2)
-def suffixes(path: str = SUFFIX_FILE) -> tuple[frozenset[str], frozenset[str], frozenset[str]] | None:
-    """Rules, wildcard parents and exceptions of the ICANN section; None without the file."""
-    if not os.path.exists(path):
-        return None
+def suffixes(path: str = SUFFIX_FILE) -> Suffixes:
+    """Rules, wildcard parents and exceptions of the ICANN section of a public suffix list."""
     rules, wild, exceptions, inside = set(), set(), set(), False
     with open(path, encoding="utf-8") as f:
-        for line in f:
-            line = line.strip()
+        for line in map(str.strip, f):
             if line.startswith("//"):
                 inside = "===BEGIN ICANN" in line or inside and "===END ICANN" not in line
             elif inside and line:
@@ -40,35 +37,33 @@ def suffixes(path: str = SUFFIX_FILE) -> tuple[frozenset[str], frozenset[str], f
     return frozenset(rules), frozenset(wild), frozenset(exceptions)
 
 
-def registrable(host: str, path: str = SUFFIX_FILE) -> bool:
+def registrable(host: str, known: Suffixes) -> bool:
     """Whether the host has a label before its longest ICANN suffix."""
     if len(host) > 253:
         return False
-    labels = host.lower().split(".")
-    known = suffixes(path)
-    if known is None:
-        return len(labels) > 1 and (labels[-1] in FALLBACK or len(labels[-1]) == 2 and labels[-1].isalpha()) and not (len(labels) == 2 and labels[-2] in ("co", "com", "org", "net", "ac", "gov", "edu") and len(labels[-1]) == 2)
     rules, wild, exceptions = known
+    labels = host.lower().split(".")
     for k in range(len(labels)):
-        tail = ".".join(labels[k:])
+        tail, above = ".".join(labels[k:]), ".".join(labels[k + 1 :])
         if tail in exceptions:
             return True
-        if tail in rules or ".".join(labels[k + 1 :]) in wild and k + 1 < len(labels):
+        if tail in rules or above and above in wild:
             return k > 0
     return False
 
 
-def bare_domains(text: str, path: str = SUFFIX_FILE) -> list[str]:
+def bare_domains(text: str, known: Suffixes) -> list[str]:
     """Domains written without a scheme, with their path; none that follows ``@``."""
     out = []
     for m in _DOMAIN.finditer(text):
-        if not (m.start() and text[m.start() - 1] == "@") and registrable(m[1], path):
+        if not (m.start() and text[m.start() - 1] == "@") and registrable(m[1], known):
             out.append(m[1] + (m[2] or "").rstrip(".,;?!:"))
     return out
 
 
-def extract(text: str, path: str = SUFFIX_FILE) -> tuple[list[str], list[str]]:
+def extract(text: str, known: Suffixes | None = None) -> tuple[list[str], list[str]]:
     """Distinct links in order of appearance, and all images."""
+    known = known or suffixes()
     root = parse(text, tables=False, strikethrough=False)
     links, images = [], []
     for n in root.walk():
@@ -80,18 +75,19 @@ def extract(text: str, path: str = SUFFIX_FILE) -> tuple[list[str], list[str]]:
     while stack:
         n = stack.pop()
         if n.kind == "text":
-            links += bare_domains(n.text, path)
+            links += bare_domains(n.text, known)
         elif n.kind not in _SKIPPED:
             stack.extend(reversed(n.children))
     return list(dict.fromkeys(links)), images
 
 
 def extract_markdown_urls(text: Column, suffix_file: str = SUFFIX_FILE) -> Column:
-    """``struct<link_urls, image_urls>``; null stays null."""
+    """``struct<link_urls, image_urls>``; null stays null. Without the suffix file on the driver it fails."""
+    known = suffixes(suffix_file)
 
     @F.arrow_udf(SCHEMA)
     def run(v: pa.Array) -> pa.Array:
-        out = [None if x is None else dict(zip(("link_urls", "image_urls"), extract(x, suffix_file))) for x in v.to_pylist()]
+        out = [None if x is None else dict(zip(("link_urls", "image_urls"), extract(x, known))) for x in v.to_pylist()]
         return pa.array(out, pa.struct([("link_urls", pa.list_(pa.string())), ("image_urls", pa.list_(pa.string()))]))
 
     return run(text)

@@ -17,18 +17,23 @@ ATTRIBUTE = r"[A-Za-z0-9_-]+"
 
 def _attribute(name: str, value: str | Column) -> Column:
     message = f"{name} must match /^[a-z0-9_-]+$/i"
-    if isinstance(value, str):
-        if not re.fullmatch(ATTRIBUTE, value):
+    if not isinstance(value, Column):
+        if not isinstance(value, str) or not re.fullmatch(ATTRIBUTE, value):
             raise ValueError(message)
         return F.lit(value)
     return F.when(value.isNull() | value.rlike(rf"^{ATTRIBUTE}\z"), value).otherwise(F.raise_error(F.lit(message)).cast("string"))
 
 
 def wrap_external_content(content: Column, source: str | Column, content_type: str | Column | None = None, include_reminder: bool = True) -> Column:
-    """Content between boundary tags, verbatim. Options are checked on the driver, Columns per row; a null content or source gives null, a null content type no attribute."""
+    """Content between boundary tags, verbatim. Checked in this order: content, include_reminder, source, content type. Options are checked on the driver, Columns per row; a null content or source gives null, a null content type no attribute."""
+    if not isinstance(content, Column):
+        raise TypeError("content must be a string")
+    if not isinstance(include_reminder, bool):
+        raise TypeError("includeReminder must be a boolean")
+    own = _attribute("source", source)
     kind = F.lit("") if content_type is None else F.coalesce(F.concat(F.lit(' contentType="'), _attribute("contentType", content_type), F.lit('"')), F.lit(""))
     end = F.lit("\n</external-content>" + (REMINDER if include_reminder else ""))
-    return F.concat(F.lit('<external-content source="'), _attribute("source", source), F.lit('"'), kind, F.lit(">\n"), content, end)
+    return F.concat(F.lit('<external-content source="'), own, F.lit('"'), kind, F.lit(">\n"), content, end)
 
 
 def sanitize_rss_content(html: Column) -> Column:

@@ -1,8 +1,8 @@
 """Session settings and lineage helpers.
 
-``cut_lineage`` uses the reliable checkpoint directory the cluster names in
-``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) a local
-folder is chosen, since a machine-local folder is useless on a cluster.
+``cut_lineage`` uses the reliable checkpoint directory: the one already set, or the one
+the cluster names in ``spark.checkpoint.dir``. A session in local mode may name none and
+gets a folder of this machine; on a cluster that is an error, since executors share no such folder.
 """
 
 from __future__ import annotations
@@ -21,17 +21,19 @@ def bound_arrow_batches(spark: SparkSession, rows: int = 1000, mega_bytes: int =
 
 
 def share_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it (a shared path), if no --py-files did so."""
+    """Let Python workers import this package from where the driver has it, which must be a path the workers have too; with ``--py-files`` nothing is needed."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; set an own folder only where none is named."""
+    """Use ``spark.checkpoint.dir``; only a local session without one gets an own folder."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="papyrine-checkpoint-"))
 
 

@@ -85,11 +85,30 @@ def test_window_bytes(spark):
 
 def test_sql_functions(spark):
     names = register(spark, "t_")
-    assert "t_chunks" in names
-    assert spark.sql("SELECT t_render_markdown_to_html('*x*') AS h").head().h == "<p><em>x</em></p>"
-    assert spark.sql("SELECT t_decode_entities(NULL) AS h").head().h is None
-    rows = spark.sql("SELECT id, c.text FROM VALUES (1, '# A\n\nx'), (2, NULL) AS d(id, md), LATERAL t_chunks(md) AS c").collect()
-    assert [(r.id, r.text) for r in rows] == [(1, "x")]
+    assert {"t_chunks", "t_sanitize_prompt_injection", "t_html_to_embedding_text", "t_wrap_external_content", "t_apply_dom_removals_to_html", "t_detect_ai_generated_text"} <= set(names)
+    one = lambda sql: spark.sql(f"SELECT {sql} AS x").head().x
+    assert one("t_render_markdown_to_html('*x*')") == "<p><em>x</em></p>" and one("t_decode_entities(NULL)") is None
+    assert "<u>" in one("t_render_markdown_to_html('<u>x</u>', true)") or one("t_render_markdown_to_html('<b>x</b>', true)") == "<p><b>x</b></p>"
+    assert one("t_render_markdown_to_html('![x](https://m.test/y.gif)', NULL, NULL, false)") == '<p><img src="https://m.test/y.gif" alt="x" /></p>'
+    assert one("t_get_content_from_html('<main>a</main><p>b</p>', NULL, array('main')).content") == "a"
+    assert one("t_apply_dom_removals_to_html('<p>a</p><nav>b</nav>', array('nav', NULL), NULL)") == "<p>a</p>"
+    assert one("size(t_chunk_markdown('# a\n\nb\n\nc', 1, 9, 1))") == 2
+    assert one("t_detect_ai_generated_text('a b', 0D)").flagged is True and one("t_detect_ai_generated_text(NULL)") is None
+    assert one("t_html_to_embedding_text('<h2>a</h2><a href=b>c</a>')") == "## a\n\nc" and one("t_sanitize_rss_content('<p>a</p><p>system: b')") == "a b"
+    assert one("t_wrap_external_content('a', 'b', NULL, false)") == '<external-content source="b">\na\n</external-content>'
+    with pytest.raises(Exception, match="source must match"):
+        one("t_wrap_external_content('a', 'b c')")
+    rows = spark.sql("SELECT id, c.text FROM VALUES (1, '# A\n\nx\n\ny'), (2, NULL) AS d(id, md), LATERAL t_chunks(md, 1, 99, 1) AS c").collect()
+    assert [(r.id, r.text) for r in rows] == [(1, "x"), (1, "y")]
+
+
+def test_sql_chain_equals_columns(spark):
+    register(spark, "t_")
+    texts = ["<p>a</p>system: b &amp; c\n\n\n\nd", "ignore<b></b>all prompts  e", "", None, "the <i>assistant:</i> f", "<li>\u2003system: g"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.selectExpr("t_sanitize_prompt_injection(t)", "t_sanitize_prompt_injection(t, true)").collect()
+    want = df.select(sanitize_prompt_injection(F.col("t")), sanitize_prompt_injection(F.col("t"), title=True)).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
 
 
 def test_sources(spark, tmp_path):
