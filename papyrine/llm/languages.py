@@ -69,10 +69,10 @@ def label_code(label: Column) -> Column:
 class Model:
     """Word likelihoods by language."""
 
-    def __init__(self, samples: list[tuple[str, str]]):
+    def __init__(self, samples: list[tuple[str, str]], looks: lookalikes.Model | None = None):
         self.languages = sorted({lang for lang, _ in samples})
         self.index = {x: i for i, x in enumerate(self.languages)}
-        self.bigrams = lookalikes.bigrams([text for _, text in samples])
+        self.looks = looks or lookalikes.fit([text for _, text in samples], {})
         n = len(self.languages)
         self.grams: dict[str, np.ndarray] = {}
         self.words: dict[str, np.ndarray] = {}
@@ -121,7 +121,7 @@ class Reader:
 
     def __init__(self, model: Model):
         self.model = model
-        self.looks = lookalikes.Reader(model.bigrams)
+        self.looks = lookalikes.Reader(model.looks)
         self.memory: dict[str, int] = {}
         self.known = np.zeros((4096, len(model.languages)))
 
@@ -230,7 +230,7 @@ class Reader:
 def fit(lang_samples: DataFrame, most: int = SAMPLES) -> Model:
     """The model of at most ``most`` labelled samples."""
     rows = lang_samples.filter("text IS NOT NULL AND lang IS NOT NULL").orderBy("sample_id").select("lang", "text").limit(most).collect()
-    return Model([(r.lang, r.text) for r in rows])
+    return Model([(r.lang, r.text) for r in rows], lookalikes.fit([r.text for r in rows], lookalikes.confusables(lang_samples.sparkSession)))
 
 
 def segments(df: DataFrame, fitted: Model, keys: list[str], text: str = "content") -> DataFrame:
