@@ -2,10 +2,15 @@
 
 Similarity is the share of all different word trigrams of two records that both hold.
 
+Records of equal trigram sets are one representative; all that follows is done on these.
+
 1. Candidates: of each record the ``SAMPLE`` trigrams of least hash. Records of
-   similarity 0.5 share half of these on average, never (4 standard deviations) fewer
-   than ``shared_least``; so each needs only its rarest ones, up to the last of which
-   such a partner must hold one (prefix filter). Trigrams of one record end here.
+   similarity 0.5 share half of these on average, never (4 standard deviations of a
+   draw without return) fewer than ``shared_least``; so each needs only its rarest
+   ones, up to the last of which such a partner must hold one (prefix filter). The
+   trigrams left out are the commonest: what a site puts into all its records is
+   compared only for records of which it makes more than a quarter. Trigrams of one
+   record end here.
 2. Bit-sliced comparison: the records of one trigram lie in blocks, sorted, each with
    ``BITS`` one-bit min-hashes. Plane b holds bit b of all records of a block; a plane
    XOR itself shifted by o compares every record with the o-th after it at once.
@@ -25,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +40,7 @@ from papyrine.plans.session import cut_lineage
 SHINGLE = 3
 LEAST_WORDS = 50
 SIMILARITY = 0.5
-SAMPLE = 48
+SAMPLE = 64
 BITS = 256
 #: Records of a sub-block; a trigram with more records is divided.
 SUB_BLOCK = 1024
@@ -42,9 +48,14 @@ SUB_BLOCK = 1024
 BROADCAST_IDS = 500_000
 
 
-def shared_least(k: int, similarity: float = SIMILARITY) -> int:
-    """Sampled trigrams that records of this similarity share at least, four standard deviations below the mean."""
-    return max(1, math.floor(k * similarity - 4 * math.sqrt(k * similarity * (1 - similarity))))
+def shared_least(k: int, size: int, similarity: float = SIMILARITY) -> int:
+    """Trigrams that the samples of a record of ``size`` trigrams, ``k`` of them sampled, and of a similar one share at least, four standard deviations below the mean.
+
+    The larger of the two has at most size / similarity trigrams; its sample is a draw from these without return.
+    """
+    most = size / similarity
+    spread = math.sqrt(k * similarity * (1 - similarity) * max(0.0, most - k) / max(1.0, most - 1))
+    return max(1, math.floor(k * similarity - 4 * spread))
 
 
 def radius(similarity: float = SIMILARITY) -> int:
@@ -144,16 +155,20 @@ def close_pairs(groups: list, sketches: list[bytes], limit: int) -> Iterator[tup
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keep, sample, sketches = [], [], []
+        keep, sample, sketches, sets, prefix = [], [], [], [], []
         for i, g in enumerate(word_grams(b.column(1).to_pylist()) if b.num_rows else []):
             if g is not None:
                 keep.append(i)
                 order = mixed(g ^ np.uint64(0x5851F42D4C957F2D))
                 sample.append((np.sort(order)[:SAMPLE] if len(g) > SAMPLE else order).view(np.int64))
                 sketches.append(sketch(g))
+                sets.append(xxhash.xxh3_128_digest(g.tobytes()))
+                prefix.append(len(sample[-1]) - shared_least(len(sample[-1]), len(g)) + 1)
         ends = pa.array(np.cumsum([0, *map(len, sample)], dtype=np.int32))
         flat = pa.array(np.concatenate(sample) if sample else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.ListArray.from_arrays(ends, flat), pa.array(sketches, pa.binary())], names=["id", "sample", "sketch"])
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0).take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary()), pa.array(prefix, pa.int32()), pa.ListArray.from_arrays(ends, flat), pa.array(sketches, pa.binary())], names=["id", "set", "prefix", "sample", "sketch"]
+        )
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,22 +203,19 @@ def _compare(limit: int, most: int = 8192):
     return run
 
 
-def similar_pairs(df: DataFrame, key: str = "content_id", title: str = "title", text: str = "content", similarity: float = SIMILARITY) -> DataFrame:
-    """``a, b, similarity``: all pairs of different keys at or above the similarity."""
-    kind = df.schema[key].dataType.simpleString()
-    own = df.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.col(text)).alias("text"))
-    features = cut_lineage(own.mapInArrow(_sample, f"id {kind}, sample array<bigint>, sketch binary"))
+def _own(df: DataFrame, key: str, title: str, text: str) -> DataFrame:
+    return df.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.col(text)).alias("text"))
+
 
-    # 1. the rarest sampled trigrams of each record that another record has too
-    each = features.select("id", F.size("sample").alias("k"), F.explode("sample").alias("gram"))
+def candidate_blocks(features: DataFrame) -> DataFrame:
+    """``gram, i, j, id, sketch``: representatives that hold a trigram both need, in pairs of sub-blocks."""
+    # the rarest sampled trigrams of each record that another record has too
+    each = features.select("id", F.explode("sample").alias("gram"))
     counts = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    common = each.join(counts, "gram")
-    sizes = df.sparkSession.createDataFrame([(k, k - shared_least(k, similarity) + 1) for k in range(1, SAMPLE + 1)], "k int, prefix int")
-    mine = common.join(F.broadcast(sizes), "k").groupBy("id").agg(F.first("k").alias("k"), F.first("prefix").alias("prefix"), F.array_sort(F.collect_set(F.struct("n", "gram"))).alias("grams"))
+    mine = each.join(counts, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("grams")).join(features.select("id", "prefix", F.size("sample").alias("k")), "id")
     # grams of one record come first in the order by rarity and use up the prefix
     free = F.col("prefix") - (F.col("k") - F.size("grams"))
-    kept = mine.filter(free > 0).select("id", F.explode(F.slice("grams", F.lit(1), free)).alias("x")).select("id", F.col("x.gram").alias("gram"))
-    kept = cut_lineage(kept)
+    kept = cut_lineage(mine.filter(free > 0).select("id", F.explode(F.slice("grams", F.lit(1), free)).alias("x")).select("id", F.col("x.gram").alias("gram")))
 
     # groups of the same members are compared once
     groups = kept.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members")).filter("n > 1")
@@ -212,9 +224,20 @@ def similar_pairs(df: DataFrame, key: str = "content_id", title: str = "title",
     placed = kept.join(groups, "gram").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     placed = placed.select("gram", "id", "part", others.alias("other")).select("gram", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id")
-    blocks = placed.join(features.select("id", "sketch"), "id").select("gram", "i", "j", "id", "sketch")
-    blocks = blocks.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "id")
-    # 2. bit-sliced comparison
+    return placed.join(features.select("id", "sketch"), "id").select("gram", "i", "j", "id", "sketch")
+
+
+def similar_classes(df: DataFrame, key: str = "content_id", title: str = "title", text: str = "content", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """``id, class`` of every record, the class being the least key of equal trigram sets; and ``a, b, similarity`` of all pairs of classes at or above the similarity."""
+    kind = df.schema[key].dataType.simpleString()
+    own = _own(df, key, title, text)
+    every = cut_lineage(own.mapInArrow(_sample, f"id {kind}, set binary, prefix int, sample array<bigint>, sketch binary"))
+    least = every.groupBy("set").agg(F.min("id").alias("class"))
+    members = cut_lineage(every.select("id", "set").join(least, "set").groupBy("id").agg(F.min("class").alias("class")))  # a key stored twice is one record
+    features = every.join(members.filter("id = class").select("id"), "id", "left_semi").dropDuplicates(["id"])
+
+    # 1. candidates, 2. bit-sliced comparison
+    blocks = candidate_blocks(cut_lineage(features)).repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "id")
     near = cut_lineage(blocks.mapInArrow(_compare(radius(similarity)), f"a {kind}, b {kind}").distinct())
 
     # 3. exact similarity
@@ -225,4 +248,24 @@ def similar_pairs(df: DataFrame, key: str = "content_id", title: str = "title",
     both = near.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
     value = shared / (F.size("ga") + F.size("gb") - shared)
-    return both.select("a", "b", value.alias("similarity")).filter(F.col("similarity") >= similarity)
+    return members, both.select("a", "b", value.alias("similarity")).filter(F.col("similarity") >= similarity)
+
+
+def similar_pairs(df: DataFrame, key: str = "content_id", title: str = "title", text: str = "content", similarity: float = SIMILARITY) -> DataFrame:
+    """``a, b, similarity``: all pairs of different keys at or above the similarity, classes expanded."""
+    members, pairs = similar_classes(df, key, title, text, similarity)
+    pairs = cut_lineage(pairs)
+    of = lambda side: members.select(F.col("class").alias(side), F.col("id").alias(f"id_{side}"))
+    between = pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "similarity")
+    inside = of("a").join(of("b"), F.col("a") == F.col("b")).filter("id_a < id_b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.lit(1.0).alias("similarity"))
+    return between.unionByName(inside)
+
+
+def linked_classes(df: DataFrame, key: str = "content_id", title: str = "title", text: str = "content", similarity: float = SIMILARITY) -> DataFrame:
+    """``id, class, links``: every record of enough words once, with its class of equal wording and the number of records similar to it, no pair expanded."""
+    members, pairs = similar_classes(df, key, title, text, similarity)
+    sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("size"))
+    both = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("class", "other")
+    others = both.join(sizes.withColumnRenamed("class", "other"), "other").groupBy("class").agg(F.sum("size").alias("others"))
+    counted = sizes.join(others, "class", "left").select("class", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    return members.join(counted, "class").select("id", "class", "links")

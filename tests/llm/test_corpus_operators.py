@@ -76,6 +76,24 @@ def brute_lines(rows: list[tuple[str, int, str]], least: int) -> set[tuple[int,
     return {(i, n) for i, n, site, k in lines if len(seen[site, k]) >= least}
 
 
+def test_lines_hold_whole_chunks(prose):
+    """Every line of enough letters has a chunk of its own, the same wherever the line stands, and the contents' chunks hold it."""
+    r = random.Random(6)
+    lines = ["abcdefghijklmno", "aaaaaaaaaaaaaaaaaaaa", "ababababababababab", "Share this page now", prose(5, 24).split(".")[0], prose(9, 60).replace(".", "")]
+    seen = defaultdict(set)
+    for k in range(30):
+        body = [prose(50 + k, 24), *r.sample(lines, len(lines)), prose(90 + k, 12)]
+        r.shuffle(body)
+        row, number, chunk, _ = site_lines.line_chunks(["\n".join(body)], ["s"])
+        ids, _ = site_lines.content_chunks(["\n".join(body)], ["s"])
+        assert set(chunk.tolist()) <= set(ids.tolist()) and set(row.tolist()) == {0} and (chunk > 0).all()
+        for n, c in zip(number.tolist(), chunk.tolist()):
+            seen[body[n - 1]].add(c)
+    assert all(len(seen[x]) == 1 for x in lines)
+    a, b = (site_lines.content_chunks(["Share this page with all of your friends"], [s])[0] for s in "ab")
+    assert not set(a.tolist()) & set(b.tolist())
+
+
 def test_site_lines(spark, prose):
     r = random.Random(2)
     furniture = ["Share this page with friends", "© All rights reserved by us 20{}", "Ｓｈａｒｅ  this Page, with FRIENDS!", "Tous droits réservés ici", "TOUS DROITS RESERVES, ICI", prose(7, 120), "Short one"]
@@ -126,6 +144,21 @@ def test_near_copies(spark, prose):
     got = {(x.a, x.b) for x in near_copies.similar_pairs(df).collect()}
     assert got == want and len(want) > 30
     assert near_copies.similar_pairs(df.limit(0)).count() == 0
+    links = {x.id: (x["class"], x.links) for x in near_copies.linked_classes(df).collect()}
+    assert links == {i: (min(j for j in sets if sets[j] == sets[i]), sum(i in p for p in want)) for i in sets}
+    assert near_copies.linked_classes(df.limit(0)).count() == 0
+
+
+def test_least_shared_of_samples():
+    """What is promised of two samples holds for pairs of the least similarity, in draws of either size."""
+    r = random.Random(8)
+    for n in (20, 64, 150, 400):
+        for _ in range(60):
+            both = {r.random() for _ in range(n // 2)}
+            a, b = both | {r.random() for _ in range(n - n // 2)}, both  # b is half of a
+            x, y = (set(sorted(s)[: near_copies.SAMPLE]) for s in (a, b))
+            assert len(x & y) >= near_copies.shared_least(len(x), len(a)) - (n <= 64)
+    assert near_copies.shared_least(64, 10**9) == 16 and near_copies.shared_least(1, 1) == 1
 
 
 def test_divided_groups_lose_no_pair(spark, prose, monkeypatch):
@@ -133,6 +166,9 @@ def test_divided_groups_lose_no_pair(spark, prose, monkeypatch):
     text = prose(1, 120)
     df = spark.createDataFrame([(i, f"title {i}", text) for i in range(23)], "content_id bigint, title string, content string")
     assert near_copies.similar_pairs(df).count() == 23 * 22 // 2
+    same = spark.createDataFrame([(i, None, text) for i in range(23)], "content_id bigint, title string, content string")
+    assert near_copies.similar_pairs(same).count() == 23 * 22 // 2
+    assert {tuple(r) for r in near_copies.linked_classes(same).collect()} == {(i, 0, 22) for i in range(23)}
 
 
 def test_bit_sliced_distances():
