@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyrine import cases
 from papyrine.functions import guards, urls
 from papyrine.functions.hosts import host_of
 from papyrine.operators import boilerplate, chunking, detect, entities, extract, injection, md_urls, prompt, render, rss
@@ -253,7 +254,7 @@ def queries() -> dict[str, Query]:
         batch_guard,
         ai_detect,
     )
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | cases.queries()
 
 
 # SQL of the same results, for an engine whose patterns know no look-around and no possessive loops.
@@ -313,7 +314,7 @@ def oracle_sql() -> dict[str, str]:
     role = f"({_sql_by('c_custkey', ('system', 'assistant', 'user', 'SYSTEM'))} || ': ' || c_name || chr(10) || chr(10) || chr(10) || '  Assistant:  ' || c_mktsegment)"
     host = lambda u: rf"regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(trim({u}), '(?i)^(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\\]*)', 1)), '^.*@', ''), ':\d*$', ''), '^www\.|\.$', '')"
     chunk = lambda seq, level, header, crumb, body: f"SELECT p_partkey, {seq} AS seq, {level} AS level, {header} AS header, {crumb} AS breadcrumb, {body} AS text, CAST(length(trim(regexp_replace({crumb} || ' ' || {body}, '\\s+', ' ', 'g'))) AS BIGINT) AS length FROM part"
-    return {
+    return cases.oracle_sql(_sanitized, _WS) | {
         "image_proxy_signed": f"SELECT page_id, {_signed('url')} AS signed, '/proxy/' || rtrim(translate(base64(encode(url)), '+/', '-_'), '=') AS unsigned FROM pages",
         "url_predicates": f"SELECT page_id, {external} AS external, {relative} AS relative, ({trimmed} <> '' AND NOT {relative} AND NOT starts_with({trimmed}, '/proxy/') AND {external}) AS proxied, {safe('http|https|mailto|tel')} AS safe_link, {safe('http|https')} AS safe_image, regexp_matches({bare}, '(?i)^(?:javascript|data|vbscript):') AS dangerous FROM pages",
         "url_hosts": f"SELECT doc_id, {host('url')} AS url_host FROM documents",
