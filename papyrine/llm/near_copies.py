@@ -44,7 +44,7 @@ SAMPLE = 64
 BITS = 256
 #: Records of a sub-block; a trigram with more records is divided.
 SUB_BLOCK = 1024
-#: Ids of records to be checked are broadcast up to this many (8 bytes each), joined by shuffle beyond.
+#: Ids of representatives and of records to be checked are broadcast up to this many (8 and 24 bytes each), joined by shuffle beyond.
 BROADCAST_IDS = 500_000
 
 
@@ -207,12 +207,18 @@ def _own(df: DataFrame, key: str, title: str, text: str) -> DataFrame:
     return df.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.col(text)).alias("text"))
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """Broadcast if it has at most ``BROADCAST_IDS`` rows, or else joined by shuffle."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def candidate_blocks(features: DataFrame) -> DataFrame:
     """``gram, i, j, id, sketch``: representatives that hold a trigram both need, in pairs of sub-blocks."""
     # the rarest sampled trigrams of each record that another record has too
     each = features.select("id", F.explode("sample").alias("gram"))
     counts = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    mine = each.join(counts, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("grams")).join(features.select("id", "prefix", F.size("sample").alias("k")), "id")
+    sizes = features.select("id", "prefix", F.size("sample").alias("k")).distinct()
+    mine = each.join(counts, "gram").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("n", "gram"))).alias("grams")).join(sizes, "id")
     # grams of one record come first in the order by rarity and use up the prefix
     free = F.col("prefix") - (F.col("k") - F.size("grams"))
     kept = cut_lineage(mine.filter(free > 0).select("id", F.explode(F.slice("grams", F.lit(1), free)).alias("x")).select("id", F.col("x.gram").alias("gram")))
@@ -224,7 +230,7 @@ def candidate_blocks(features: DataFrame) -> DataFrame:
     placed = kept.join(groups, "gram").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     placed = placed.select("gram", "id", "part", others.alias("other")).select("gram", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id")
-    return placed.join(features.select("id", "sketch"), "id").select("gram", "i", "j", "id", "sketch")
+    return placed.join(features.select("id", "sketch").distinct(), "id").select("gram", "i", "j", "id", "sketch")
 
 
 def similar_classes(df: DataFrame, key: str = "content_id", title: str = "title", text: str = "content", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -233,17 +239,18 @@ def similar_classes(df: DataFrame, key: str = "content_id", title: str = "title"
     own = _own(df, key, title, text)
     every = cut_lineage(own.mapInArrow(_sample, f"id {kind}, set binary, prefix int, sample array<bigint>, sketch binary"))
     least = every.groupBy("set").agg(F.min("id").alias("class"))
-    members = cut_lineage(every.select("id", "set").join(least, "set").groupBy("id").agg(F.min("class").alias("class")))  # a key stored twice is one record
-    features = every.join(members.filter("id = class").select("id"), "id", "left_semi").dropDuplicates(["id"])
+    classes = cut_lineage(every.select("id", "set").join(least, "set").groupBy("id").agg(F.min(F.struct("class", "set")).alias("x")).select("id", "x.*"))  # a key stored twice is one record
+    members = classes.select("id", "class")
+    kept = _small(classes.filter("id = class").select("id", "set"))
+    features = every.join(kept, ["id", "set"], "left_semi")  # rows of one key are equal here
 
     # 1. candidates, 2. bit-sliced comparison
-    blocks = candidate_blocks(cut_lineage(features)).repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "id")
+    blocks = candidate_blocks(features).repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "id")
     near = cut_lineage(blocks.mapInArrow(_compare(radius(similarity)), f"a {kind}, b {kind}").distinct())
 
     # 3. exact similarity
     ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    sets = own.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(_grams, f"id {kind}, grams array<bigint>").dropDuplicates(["id"])
+    sets = own.join(_small(ids), "id", "left_semi").mapInArrow(_grams, f"id {kind}, grams array<bigint>").dropDuplicates(["id"])
     sets = cut_lineage(sets)
     both = near.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
