@@ -320,30 +320,30 @@ class Field:
 
 
 def _chains(unary: np.ndarray, live: np.ndarray, moves: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log-partition sum, marginals and expected transitions of padded chains (documents, lines, 2)."""
+    """Log-partition sum, marginals and expected transitions of padded chains (documents, lines, 2), the longest first."""
     docs, length, _ = unary.shape
-    ahead = np.zeros_like(unary)
-    ahead[:, 0] = unary[:, 0]
+    at = live.sum(axis=0).tolist()  # documents that reach each line are the first ones
+    ahead = unary.copy()
     lse = lambda x, axis: np.logaddexp(np.take(x, 0, axis), np.take(x, 1, axis))
     for t in range(1, length):
-        step = lse(ahead[:, t - 1, :, None] + moves[None], 1) + unary[:, t]
-        ahead[:, t] = np.where(live[:, t, None], step, ahead[:, t - 1])
-    z = lse(ahead[:, -1], 1)
+        n = at[t]
+        ahead[:n, t] += lse(ahead[:n, t - 1, :, None] + moves[None], 1)
+    last = live.sum(axis=1) - 1
+    z = lse(ahead[np.arange(docs), last], 1)
     back = np.zeros_like(unary)
     pairs = np.zeros((2, 2))
     for t in range(length - 2, -1, -1):
-        inner = unary[:, t + 1] + back[:, t + 1]
-        both = ahead[:, t, :, None] + moves[None] + inner[:, None, :]
-        on = live[:, t + 1]
-        pairs += np.exp(both[on] - z[on, None, None]).sum(axis=0)
-        back[:, t] = np.where(on[:, None], lse(moves[None] + inner[:, None, :], 2), back[:, t + 1])
+        n = at[t + 1]
+        inner = unary[:n, t + 1] + back[:n, t + 1]
+        pairs += np.exp(ahead[:n, t, :, None] + moves[None] + inner[:, None, :] - z[:n, None, None]).sum(axis=0)
+        back[:n, t] = lse(moves[None] + inner[:, None, :], 2)
     marginal = np.exp(np.where(live[..., None], ahead + back - z[:, None, None], -np.inf))
     return float(z.sum()), marginal, pairs
 
 
 def train(pages: list[tuple[list[list[int]], list[int]]], steps: int = STEPS) -> Field:
     """The field that maximises the penalised likelihood of the labels known, by Adam on the whole sample."""
-    pages = [p for p in pages if p[0] and any(x >= 0 for x in p[1])]
+    pages = sorted((p for p in pages if p[0] and any(x >= 0 for x in p[1])), key=lambda p: -len(p[0]))
     weights, moves = np.zeros(SIZE), np.zeros((2, 2))
     if not pages:
         weights[:] = -1.0
