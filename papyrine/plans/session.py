@@ -7,8 +7,8 @@ gets a folder of this machine; on a cluster that is an error, since executors sh
 
 from __future__ import annotations
 
-import os
 import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +21,17 @@ def bound_arrow_batches(spark: SparkSession, rows: int = 1000, mega_bytes: int =
 
 
 def share_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, which must be a path the workers have too; with ``--py-files`` nothing is needed."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    """Send this package to all Python workers, once a session; whatever of it is missing on the driver is not sent."""
+    sc = spark.sparkContext
+    if getattr(sc, "_papyrine_sent", None):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="papyrine-package-")) / "papyrine_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(archive))  # the driver serves it to executors, those that come later too
+    sc._papyrine_sent = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -170,13 +170,16 @@ def chunk_contents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_merge_invariants(spark: SparkSession, folder: str) -> DataFrame:
-    """Letters of each content outside headings are those of its chunks, whatever the merging."""
+    """Words in the chunks of each content, without merging and merged: those outside headings. Merging makes no more chunks, and none too long of several blocks."""
     bound_arrow_batches(spark)
-    contents = table(spark, folder, "page_contents").select("content_id", "content")
+    contents = table(spark, folder, "page_contents").dropDuplicates(["content_id"]).select("content_id", "content")
     words = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"(?U)(\p{L}+)"), F.lit(1)))
-    made = contents.withColumn("phase1", chunking.chunk_markdown(F.col("content"), chunking.ChunkOptions(phase=1))).withColumn("phase2", chunking.chunk_markdown(F.col("content"), chunking.ChunkOptions(phase=2)))
-    total = lambda c: F.aggregate(F.transform(c, lambda x: words(x["text"])), F.lit(0), lambda a, b: a + b)
-    return made.select("content_id", F.coalesce(total("phase1") == total("phase2"), F.lit(True)).alias("same_words"), F.coalesce(F.size("phase1") >= F.size("phase2"), F.lit(True)).alias("fewer"))
+    phase = lambda k: chunking.chunk_markdown(F.col("content"), chunking.ChunkOptions(phase=k))
+    made = contents.withColumns({f"phase{k}": phase(k) for k in (1, 2, 3)})
+    total = lambda c: F.aggregate(F.transform(c, lambda x: words(x["text"])), F.lit(0), lambda a, b: a + b).cast("bigint")
+    longest = F.array_max(F.transform("phase1", lambda x: x["length"]))
+    fits = F.forall("phase3", lambda x: x["length"] <= F.greatest(F.lit(chunking.MAX_LENGTH), longest))
+    return made.select("content_id", total("phase1").alias("words"), total("phase2").alias("merged_words"), ((F.size("phase1") >= F.size("phase2")) & (F.size("phase2") >= F.size("phase3")) & fits).alias("merging_fits"))
 
 
 def md_render(spark: SparkSession, folder: str) -> DataFrame:
@@ -335,7 +338,12 @@ def oracle_sql() -> dict[str, str]:
                 chunk(2, 3, "p_type", "(p_brand || ' > ' || p_type)", "('```' || chr(10) || '# no' || chr(10) || '```')"),
             )
         ),
-        "chunk_merge_invariants": "SELECT content_id, true AS same_words, true AS fewer FROM page_contents",
+        "chunk_merge_invariants": r"""
+            WITH own AS (SELECT DISTINCT content_id, replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS content FROM page_contents),
+            lines AS (SELECT content_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM own),
+            fences AS (SELECT content_id, line, sum(CAST(regexp_matches(line, '^[ \t]*(```|~~~)') AS INTEGER)) OVER (PARTITION BY content_id ORDER BY i) % 2 = 1 AS code FROM lines),
+            counted AS (SELECT content_id, sum(CASE WHEN NOT code AND regexp_matches(line, '^#{1,6}[ \t]+\S') THEN 0 ELSE len(regexp_extract_all(line, '\p{L}+')) END) AS words FROM fences GROUP BY content_id)
+            SELECT content_id, CAST(CASE WHEN content IS NOT NULL THEN coalesce(words, 0) END AS BIGINT) AS words, CAST(CASE WHEN content IS NOT NULL THEN coalesce(words, 0) END AS BIGINT) AS merged_words, CASE WHEN content IS NOT NULL THEN true END AS merging_fits FROM own LEFT JOIN counted USING (content_id)""",
         "md_render": "SELECT c_custkey, '<h1>' || c_name || '</h1>' || chr(10) || '<p><strong>' || c_mktsegment || '</strong> &lt;b&gt;x&lt;/b&gt; &amp; <a href=\"https://e.test/' || c_custkey || '\" rel=\"nofollow ugc noopener\" target=\"_blank\">l</a> <a>j</a> <img src=\"/proxy/aHR0cHM6Ly9lLnRlc3QvaS5wbmc\" alt=\"a\" /></p>' || chr(10) || '<ul>' || chr(10) || '<li>one</li>' || chr(10) || '<li>two</li>' || chr(10) || '</ul>' AS html FROM customer",
         "md_urls_made": "SELECT c_custkey, 'https://a.test/' || c_custkey || ' mailto:x@y.com https://b.test/' || c_custkey || ' example.com/' || c_custkey AS links, 'https://i.test/' || c_custkey || '.png' AS images FROM customer",
         "admin_html": "SELECT n_nationkey, '<p class=\"k\">' || n_name || 'u<br></p><a href=\"https://e.test\" rel=\"noopener\" target=\"_blank\">l</a>' AS html FROM nation",
