@@ -33,6 +33,8 @@ from papyrine.plans.session import cut_lineage
 RATIO = 0.5
 _SPACE = re.compile(r"[^\S\xa0]+")  # a non-breaking space is a sign of its own in HTML
 LEAST_PAGES = 2
+#: Pages from which the HTML of learned blocks is taken are broadcast up to this many (keys and a few hashes each), joined by shuffle beyond.
+BROADCAST_PAGES = 100_000
 #: Inside these, repeated paragraphs, items and headings are content.
 _ROOTS = frozenset(("main", "article"))
 _SMALL = frozenset("p li dd dt".split()) | frozenset(dom.HEADINGS)
@@ -47,13 +49,9 @@ def selector_of(n: dom.Node) -> str:
     return n.tag + "".join(f".{c}" for c in sorted(set(n.classes())) if word.fullmatch(c))
 
 
-def _hash(*parts: str | bytes) -> bytes:
-    h = xxhash.xxh3_64()
-    for x in parts:
-        raw = x.encode("utf-8", "surrogatepass") if isinstance(x, str) else x
-        h.update(len(raw).to_bytes(4, "big"))
-        h.update(raw)
-    return h.digest()
+def _hash(head: str, inner: bytes = b"") -> bytes:
+    raw = head.encode("utf-8", "surrogatepass")
+    return xxhash.xxh3_64_digest(b"%d %b%b" % (len(raw), raw, inner))
 
 
 def _number(digest: bytes) -> int:
@@ -66,14 +64,14 @@ def hashes_of(root: dom.Node) -> tuple[dict[int, bytes], set[int]]:
     full: set[int] = set()
     for n in reversed(list(root.walk())):
         if n.tag == "#text":
-            made[id(n)] = _hash("#", _SPACE.sub(" ", n.text))
+            made[id(n)] = _hash("# " + _SPACE.sub(" ", n.text))
             if n.text.strip():
                 full.add(id(n.parent))
             continue
         if id(n) in full:
             full.add(id(n.parent))
         head = "#comment " + _SPACE.sub(" ", n.text) if n.tag == "#comment" else n.tag + "".join(f' {k}="{_SPACE.sub(" ", v)}"' for k, v in n.attrs.items())
-        made[id(n)] = _hash(head, *[made[id(c)] for c in n.children])
+        made[id(n)] = _hash(head, b"".join([made[id(c)] for c in n.children]))
     return made, full
 
 
@@ -133,7 +131,7 @@ def blocks_of(html: str, named: re.Pattern | None = None) -> list[dict]:
             out.setdefault((key, parent, within), {"block": key, "selector": selector_of(n), "kept": False, "named": hit, "parent": parent, "within": within})
             parent, within = key, key if hit else within
         elif n.tag in _SMALL and inside and re.search("[.#]", selector := selector_of(n)):
-            key = _number(_hash("kept", selector))
+            key = _number(_hash("kept " + selector))
             out.setdefault((key, 0, 0), {"block": key, "selector": selector, "kept": True, "named": False, "parent": 0, "within": 0})
         stack.extend((c, parent, within, inside) for c in reversed(n.children))
     return list(out.values())
@@ -175,7 +173,9 @@ def _sources(pages: DataFrame, wanted: DataFrame) -> DataFrame:
             keys, texts = ([x[k] for f in found for x in f] for k in (0, 1))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(keys, pa.int64()), pa.array(texts, pa.string())], names=["site", "block", "html"])
 
-    return pages.join(wanted, ["site", "page"]).select("site", "html", "blocks").mapInArrow(run, f"site {kind}, block bigint, html string").dropDuplicates(["site", "block"])
+    wanted = cut_lineage(wanted)
+    few = wanted.limit(BROADCAST_PAGES + 1).count() <= BROADCAST_PAGES
+    return pages.join(F.broadcast(wanted) if few else wanted, ["site", "page"]).select("site", "html", "blocks").mapInArrow(run, f"site {kind}, block bigint, html string").dropDuplicates(["site", "block"])
 
 
 def extract_dom_removals(pages: DataFrame, patterns: tuple[str, ...] = (), ratio: float = RATIO, site: str = "site_id", page: str = "page_id", html: str = "html") -> DataFrame:
