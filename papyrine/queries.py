@@ -17,6 +17,7 @@ from papyrine.functions.hosts import host_of
 from papyrine.operators import boilerplate, chunking, detect, entities, extract, injection, md_urls, prompt, render, rss
 from papyrine.plans.session import bound_arrow_batches
 from papyrine.sources.tables import table
+from papyrine.streaming import runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEYS = ("not-hex", "deadbeef" * 8)
@@ -257,7 +258,7 @@ def queries() -> dict[str, Query]:
         batch_guard,
         ai_detect,
     )
-    return {f.__name__: f for f in found} | cases.queries()
+    return {f.__name__: f for f in found} | cases.queries() | runs.queries()
 
 
 # SQL of the same results, for an engine whose patterns know no look-around and no possessive loops.
@@ -318,6 +319,9 @@ def oracle_sql() -> dict[str, str]:
     host = lambda u: rf"regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(trim({u}), '(?i)^(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\\]*)', 1)), '^.*@', ''), ':\d*$', ''), '^www\.|\.$', '')"
     chunk = lambda seq, level, header, crumb, body: f"SELECT p_partkey, {seq} AS seq, {level} AS level, {header} AS header, {crumb} AS breadcrumb, {body} AS text, CAST(length(trim(regexp_replace({crumb} || ' ' || {body}, '\\s+', ' ', 'g'))) AS BIGINT) AS length FROM part"
     return cases.oracle_sql(_sanitized, _WS) | {
+        "stream_injection": f"SELECT page_id, {_sanitized("replace(html, '&', '+')")} AS clean FROM pages",
+        "stream_first_contents": "SELECT DISTINCT content_id, page_id FROM page_contents",
+        "stream_windows": "SELECT CAST(CAST(fetched_at AS DATE) AS VARCHAR) AS day, count(*) AS documents, CAST(coalesce(sum(octet_length(encode(text))), 0) AS BIGINT) AS bytes FROM documents WHERE fetched_at IS NOT NULL GROUP BY 1",
         "image_proxy_signed": f"SELECT page_id, {_signed('url')} AS signed, '/proxy/' || rtrim(translate(base64(encode(url)), '+/', '-_'), '=') AS unsigned FROM pages",
         "url_predicates": f"SELECT page_id, {external} AS external, {relative} AS relative, ({trimmed} <> '' AND NOT {relative} AND NOT starts_with({trimmed}, '/proxy/') AND {external}) AS proxied, {safe('http|https|mailto|tel')} AS safe_link, {safe('http|https')} AS safe_image, regexp_matches({bare}, '(?i)^(?:javascript|data|vbscript):') AS dangerous FROM pages",
         "url_hosts": f"SELECT doc_id, {host('url')} AS url_host FROM documents",

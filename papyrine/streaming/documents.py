@@ -11,9 +11,10 @@ from pyspark.sql.streaming import StreamingQuery
 from papyrine.operators.boilerplate import page_blocks
 
 
-def read_documents(spark: SparkSession, folder: str, schema, files_per_trigger: int = 100) -> DataFrame:
-    """A stream of parquet files as they arrive."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def read_documents(spark: SparkSession, folder: str, schema, files_per_trigger: int = 100, named: str | None = None) -> DataFrame:
+    """A stream of parquet files as they arrive, only those of a name (a glob) if one is given."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    return (reader.option("pathGlobFilter", named) if named else reader).parquet(folder)
 
 
 def transform(stream: DataFrame, source: str, target: str, operator: Callable[[Column], Column]) -> DataFrame:
