@@ -20,6 +20,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.same_looking(texts(spark, folder), lookalikes.model(table(spark, folder, "lang_samples")))
 
 
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    bound_arrow_batches(spark)
+    made = lookalikes.look_classes(texts(spark, folder), lookalikes.model(table(spark, folder, "lang_samples")))
+    return made.select("tbl", "id", F.col("class").alias("class_id"), "others")
+
+
 def p1_text(spark: SparkSession, folder: str) -> DataFrame:
     bound_arrow_batches(spark)
     return lookalikes.normalize(texts(spark, folder), ["tbl", "id"], "text", lookalikes.model(table(spark, folder, "lang_samples")))
@@ -170,6 +176,7 @@ def queries() -> dict[str, Query]:
     """All queries, by name."""
     return {
         "p1_found": p1_found,
+        "p1_classes": p1_classes,
         "p1_text": p1_text,
         "p2_found": p2_found,
         "p2_pieces": p2_pieces,
@@ -229,6 +236,9 @@ def oracle_sql() -> dict[str, str]:
     """SQL for the queries it can express."""
     whole = "CASE WHEN coalesce(breadcrumb, '') = '' THEN text ELSE breadcrumb || chr(10) || chr(10) || text END"
     letters = f"regexp_replace(lower(strip_accents(replace(replace(replace(translate(line, '{_WIDE}', '{_NARROW}'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'))), '[^\\p{{L}}]+', '', 'g')"
+    forms = f"""
+            WITH all_texts AS (SELECT DISTINCT 'contents' AS tbl, content_id AS id, content AS text FROM page_contents UNION SELECT DISTINCT 'chunks', chunk_id, text FROM chunks),
+            forms AS (SELECT tbl, id, text, {_plain('text')} AS form FROM all_texts WHERE text IS NOT NULL)"""
     lines = f"""
             WITH hosts AS (SELECT page_id, max({_host('url')}) AS page_host FROM pages GROUP BY page_id),
             own AS (SELECT DISTINCT content_id, content, coalesce(nullif({_host('canonical_url')}, ''), page_host, '') AS site FROM page_contents LEFT JOIN hosts USING (page_id) WHERE content IS NOT NULL),
@@ -250,10 +260,11 @@ def oracle_sql() -> dict[str, str]:
             spans AS (SELECT doc_id, CAST(min(p) AS INTEGER) AS span_start, CAST(max(p) + 300 AS INTEGER) AS span_end FROM r GROUP BY doc_id, run)"""
     sized = f"length(regexp_replace(regexp_replace({whole}, '[{_WS}]+', ' ', 'g'), '^ | $', '', 'g')) > CASE WHEN max_length >= 1 THEN max_length ELSE 2048 END"
     return {
+        "p1_classes": f"""
+            {forms}, kinds AS (SELECT tbl, form, count(*) AS n, count(DISTINCT text) AS k, min(id) AS class_id FROM forms GROUP BY ALL), own AS (SELECT tbl, form, text, count(*) AS same FROM forms GROUP BY ALL)
+            SELECT tbl, id, class_id, n - same AS others FROM forms JOIN kinds USING (tbl, form) JOIN own USING (tbl, form, text) WHERE k > 1""",
         "p1_found": f"""
-            WITH all_texts AS (SELECT DISTINCT 'contents' AS tbl, content_id AS id, content AS text FROM page_contents UNION SELECT DISTINCT 'chunks', chunk_id, text FROM chunks),
-            forms AS (SELECT tbl, id, text, {_plain('text')} AS form FROM all_texts WHERE text IS NOT NULL)
-            SELECT a.tbl, a.id AS id_a, b.id AS id_b FROM forms a JOIN forms b ON a.tbl = b.tbl AND a.form = b.form AND a.id < b.id AND a.text <> b.text""",
+            {forms} SELECT a.tbl, a.id AS id_a, b.id AS id_b FROM forms a JOIN forms b ON a.tbl = b.tbl AND a.form = b.form AND a.id < b.id AND a.text <> b.text""",
         "p2_found": f"SELECT DISTINCT chunk_id FROM chunks LEFT JOIN chunk_options USING (option_id) WHERE text IS NOT NULL AND {sized}",
         "p2_covered": f"SELECT DISTINCT chunk_id, {sized} AS oversized, length(text) AS chars, true AS fits, true AS overlap_ok FROM chunks LEFT JOIN chunk_options USING (option_id) WHERE text IS NOT NULL",
         "p3_found": f"{lines} SELECT content_id, line_no FROM found",

@@ -34,7 +34,7 @@ MAX_LENGTH = 2048
 #: The options table is broadcast only up to this many rows.
 BROADCAST_OPTIONS = 100_000
 
-_HEADING = re.compile(r"(?m)^(?:(#{1,6})[ \t]|(={2,6})[^=\n].*=+[ \t]*$|[ \t]*<h([1-6])[ >]|[ \t]*\\(part|chapter|section|subsection|subsubsection|paragraph)\b)")
+_HEADING = re.compile(r"(?m)^(?:(#{1,6})[ \t]|(={2,6})[^=\n][^\n]*=[ \t]*$|[ \t]*<h([1-6])[ >]|[ \t]*\\(part|chapter|section|subsection|subsubsection|paragraph)\b)")
 _LATEX_LEVEL = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
 _FENCE = re.compile(r"^[ \t]*(```+|~~~+)")
 _ITEM = re.compile(r"^[ \t]*(?:[-*+•·][ \t]|\d{1,9}[.)][ \t]|[*#:;]+[ \t]|\\item\b|<li\b)")

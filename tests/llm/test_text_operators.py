@@ -327,3 +327,35 @@ def test_every_language_is_tried():
     reader = languages.Reader(model)
     reader.lines = lambda text: (scores, np.ones(101, int))
     assert "it" in [s[0] for s in reader.read("")]
+
+
+HOSTILE = (
+    "_a ", "<!-- ", "{|\n", "$$a\n\\[b ", "\\begin{align} ", "<script ", "{{a", "\\a{b", "$a=", "\\a[", "[a](b \"x", "`a ", "<a b=", "> ", "*a ", "~~a ", "[[a|", "''a ", "<div>x", "<p>same</p>", "<a \"",
+    "```\nx\n```\n", "== a =", "# a\n", "- a\n", "a. ", "''' ", "<![CDATA[ ", "| --- ",
+)
+
+
+@pytest.mark.parametrize("part", HOSTILE)
+def test_kernels_are_linear(part):
+    """Four times the text costs about four times the time, whatever is left open in it."""
+    import time
+
+    kernels = (markup.clean, lambda t: main_body.align(["same", "x"] * 50, t), lambda t: splitting.split(t, 500, 20))
+    for kernel in kernels:
+        took = []
+        for size in (60_000, 240_000):
+            text = part * (size // len(part))
+            began = time.perf_counter()
+            kernel(text)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 9 * took[0] + 0.5, (part, took)
+
+
+def test_long_lines_are_linear():
+    import time
+
+    began = time.perf_counter()
+    for text in ("# a" + " " * 500_000 + "b", "== a" + " " * 500_000 + "b", "--\n" + " " * 500_000 + "x --", "[http:a" + " " * 500_000, "\\a{" * 100_000 + "}" * 100_000, "{{a" * 100_000 + "}}" * 100_000, "== a" + "=" * 300_000 + "x"):
+        markup.clean(text)
+        splitting.split(text, 500, 20)
+    assert time.perf_counter() - began < 60
