@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.functions import guards, urls
-from papyrine.operators import boilerplate, chunking, detect, extract, injection, md_urls, prompt, render
+from papyrine.operators import boilerplate, chunking, detect, entities, extract, guarded, injection, md_urls, prompt, render, rss
 from papyrine.sources.tables import table
 
 Cases = tuple[tuple[str, str], ...]
@@ -94,7 +94,44 @@ REFERENCES: Cases = (
     ("&amp;#58;{}", ":{}"),
     ("https://h.test/{}?a=1", "https://h.test/{}?a=1"),
 )
-MOST_BATCH = 60_000
+def _worn_out(nested: int) -> str:
+    """What is left of nested references when the work they may cost is used up: by arithmetic on lengths alone."""
+    size = 1 + 4 * nested + 6
+    work = min(1_000_000, max(1024, 64 * size))
+    while work >= size:
+        work, size, nested = work - size, size - 4, nested - 1
+    return " " + "amp;" * (nested - 1) + "colon;"
+
+
+#: Text with character references, decoded to the end or until the work is used up.
+ENTITIES: Cases = (
+    ("{} &AMP; &Lt;&lT; &nBsp;|", "{} & \u226a<  |"),
+    ("&#x41;&#66;&#XD800;&#1114112;{}", "AB&#XD800;&#1114112;{}"),
+    ("&ampx &amp{}", "&ampx &amp{}"),
+    ("&amp&lt {}", "&< {}"),
+    ("&amp;amp;#38;lt;{}", "<{}"),
+    ("&unknown; &acirc;&ACIRC {}", "&unknown; \xe2&ACIRC {}"),
+    ("&" + "amp;" * 20 + "colon;{}", ":{}"),
+    ("&" + "amp;" * 300 + "colon;", _worn_out(300)),
+)
+#: Whether a closed container holds nothing but white space.
+EMPTY: Cases = (
+    ("<div> &nbsp;</div>{}", "true"),
+    ("<nav title='a>b'>\n</nav>{}", "true"),
+    ("<td></td><b> </b>{}", "false"),
+    ("<main>{}</main>", "false"),
+    ("<section><header></header>{}</section>", "true"),
+    ("{}<div", "false"),
+)
+#: Heads of pages: title, language, canonical URL, an icon link, an author and a description.
+HEADS: Cases = (
+    ("<html lang=nl><title> {}\n</title><link rel='icon shortcut' href=/i.png><meta name=Author content='A'><link rel=canonical href=' /c '>", "{}|nl|/c|/i.png|A|-"),
+    ("<meta property=og:title content='{}'><meta name=description content='first'><meta name=description content='second'>", "{}|-|-|-|-|first"),
+    ("<svg><title>no</title></svg><title>{}</title><link rel=icon>", "{}|-|-|-|-|-"),
+    ("<html lang=''><title></title><p>{}</p>", "-|-|-|-|-|-"),
+    ("{}", "-|-|-|-|-|-"),
+)
+MOST_BATCH, MOST_DOCUMENT = 60_000, 900
 
 
 def _by(key: str, values: tuple) -> Column:
@@ -125,6 +162,12 @@ def _links(c: Column) -> Column:
     return F.concat_ws("|", F.array_join(got["link_urls"], " "), F.array_join(got["image_urls"], " "))
 
 
+def _head(c: Column) -> Column:
+    got = extract.get_content_from_html(c)
+    parts = (got["title"], got["lang"], got["canonical_url"], F.element_at(got["links"], "icon"), F.element_at(got["meta"], "author"), F.element_at(got["meta"], "description"))
+    return F.concat_ws("|", *[F.coalesce(x, F.lit("-")) for x in parts])
+
+
 def chunk_cases(spark: SparkSession, folder: str) -> DataFrame:
     pick = lambda k: F.element_at(F.array(*[F.lit(c[k]) for c in CHUNKED]), (F.col("case") + 1).cast("int"))
     options = F.struct(pick(1).alias("min_length"), pick(2).alias("max_length"), pick(3).alias("phase"), F.lit(None).cast("string").alias("title"))
@@ -169,9 +212,10 @@ def batch_errors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def guarded_operators(spark: SparkSession, folder: str) -> DataFrame:
-    """Bytes through guarded operators: what cannot be taken has its message, all else its result."""
-    made = table(spark, folder, "documents").select("doc_id", guards.guarded(F.col("raw_bytes"), chunking.length_of, "text", 900).alias("g"))
-    return made.select("doc_id", F.col("g.result").cast("bigint").alias("length"), "g.error")
+    """Bytes through every operator: what cannot be taken has its message, all else a result."""
+    docs = table(spark, folder, "documents").select("doc_id", "raw_bytes")
+    made = [F.struct(F.lit(n).alias("operator"), x["result"].isNotNull().alias("done"), x["error"].alias("error")) for n in guarded.operators() for x in [guarded.on_bytes(n, F.col("raw_bytes"), MOST_DOCUMENT)]]
+    return docs.select("doc_id", F.explode(F.array(*made)).alias("x")).select("doc_id", "x.*")
 
 
 OPERATORS: dict[str, tuple[tuple, Callable[[Column], Column]]] = {
@@ -183,6 +227,9 @@ OPERATORS: dict[str, tuple[tuple, Callable[[Column], Column]]] = {
     "admin_cases": (ADMIN, lambda c: render.render_markdown_to_html(c, render.RenderOptions(allow_html=True))),
     "md_url_cases": (LINKS, _links),
     "url_reference_cases": (REFERENCES, urls.decoded),
+    "entity_cases": (ENTITIES, entities.decode_entities),
+    "empty_container_cases": (EMPTY, lambda c: rss.has_empty_containers(c).cast("string")),
+    "head_cases": (HEADS, _head),
 }
 
 
@@ -204,11 +251,10 @@ def _stated(cases: tuple) -> str:
     return f"SELECT p_partkey, replace(list_extract([{expected}], CAST(p_partkey % {len(cases)} AS INTEGER) + 1), '{{}}', p_name) AS out FROM part"
 
 
-def oracle_sql(sanitized: Callable[[str], str], spaces: str) -> dict[str, str]:
-    """SQL of the same results; ``sanitized`` makes that of the injection chain, ``spaces`` are the white space signs."""
+def oracle_sql(sanitized: Callable[[str], str]) -> dict[str, str]:
+    """SQL of the same results; ``sanitized`` makes that of the injection chain."""
     score = "CAST(CAST((length(text) % 101) / 100 AS FLOAT) AS DOUBLE)"
     fails = "(length(text) % 7 = 0 OR length(text) % 11 = 0)"
-    trimmed = f"regexp_replace(regexp_replace(t, '[{spaces}]+', ' ', 'g'), '^ | $', '', 'g')"
     return {name: _stated(cases) for name, (cases, _) in OPERATORS.items()} | {
         "chunk_cases": _stated(CHUNKED),
         "planted_removals": """
@@ -226,6 +272,7 @@ def oracle_sql(sanitized: Callable[[str], str], spaces: str) -> dict[str, str]:
             e AS (SELECT source, CASE WHEN n > {MOST_BATCH} THEN 'Input too large: ' || n || ' bytes (max {MOST_BATCH} bytes)' WHEN first_bad IS NOT NULL THEN 'Invalid UTF-8 in inputs[' || place || ']' END AS error FROM p)
             SELECT doc_id, CASE WHEN error IS NULL THEN CAST(length(decode(raw_bytes)) AS BIGINT) END AS letters, error FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source""",
         "guarded_operators": f"""
-            WITH d AS (SELECT doc_id, TRY(decode(raw_bytes)) AS t, CASE WHEN octet_length(raw_bytes) > 900 THEN 'Input too large: ' || octet_length(raw_bytes) || ' bytes (max 900 bytes)' WHEN raw_bytes IS NOT NULL AND TRY(decode(raw_bytes)) IS NULL THEN 'Invalid UTF-8 in text' END AS error FROM documents)
-            SELECT doc_id, CASE WHEN error IS NULL THEN CAST(length({trimmed}) AS BIGINT) END AS length, error FROM d""",
+            WITH names AS (SELECT unnest(['{"', '".join(guarded.operators())}']) AS operator, unnest(['{"', '".join(x[1] for x in guarded.operators().values())}']) AS input),
+            d AS (SELECT doc_id, operator, raw_bytes, CASE WHEN octet_length(raw_bytes) > {MOST_DOCUMENT} THEN 'Input too large: ' || octet_length(raw_bytes) || ' bytes (max {MOST_DOCUMENT} bytes)' WHEN raw_bytes IS NOT NULL AND TRY(decode(raw_bytes)) IS NULL THEN 'Invalid UTF-8 in ' || input END AS error FROM documents, names)
+            SELECT doc_id, operator, raw_bytes IS NOT NULL AND error IS NULL AS done, error FROM d""",
     }

@@ -88,6 +88,17 @@ def drop_empty(root: dom.Node) -> None:
             n.detach()
 
 
+def has_empty_containers(html: Column) -> Column:
+    """``has_empty_container`` of each row; null stays null. Sources without a container's tag never reach Python."""
+
+    @F.arrow_udf("boolean")
+    def run(v: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else has_empty_container(x) for x in v.to_pylist()], pa.bool_())
+
+    named = html.rlike("(?i)<(?:" + "|".join(sorted(CONTAINERS)) + r")[\s/>]")
+    return F.when(html.isNotNull(), F.coalesce(run(F.when(named, html)), F.lit(False)))
+
+
 def sanitize_rss_html(html: Column, options: RssOptions = RssOptions()) -> Column:
     """``struct<html, first_image_src>``; null stays null, '' gives '' and no image."""
 

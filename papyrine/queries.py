@@ -318,7 +318,7 @@ def oracle_sql() -> dict[str, str]:
     role = f"({_sql_by('c_custkey', ('system', 'assistant', 'user', 'SYSTEM'))} || ': ' || c_name || chr(10) || chr(10) || chr(10) || '  Assistant:  ' || c_mktsegment)"
     host = lambda u: rf"regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(trim({u}), '(?i)^(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\\]*)', 1)), '^.*@', ''), ':\d*$', ''), '^www\.|\.$', '')"
     chunk = lambda seq, level, header, crumb, body: f"SELECT p_partkey, {seq} AS seq, {level} AS level, {header} AS header, {crumb} AS breadcrumb, {body} AS text, CAST(length(trim(regexp_replace({crumb} || ' ' || {body}, '\\s+', ' ', 'g'))) AS BIGINT) AS length FROM part"
-    return cases.oracle_sql(_sanitized, _WS) | {
+    return cases.oracle_sql(_sanitized) | {
         "stream_injection": f"SELECT page_id, {_sanitized("replace(html, '&', '+')")} AS clean FROM pages",
         "stream_first_contents": "SELECT DISTINCT content_id, page_id FROM page_contents",
         "stream_windows": "SELECT CAST(CAST(fetched_at AS DATE) AS VARCHAR) AS day, count(*) AS documents, CAST(coalesce(sum(octet_length(encode(text))), 0) AS BIGINT) AS bytes FROM documents WHERE fetched_at IS NOT NULL GROUP BY 1",
