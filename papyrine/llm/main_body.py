@@ -32,7 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.llm.hashing import Sums, points_of
@@ -293,6 +293,20 @@ class Field:
     def __init__(self, weights: np.ndarray, moves: np.ndarray):
         self.weights, self.moves = weights, moves
 
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """``kind, at, value``: the weights that are not 0 and the moves, to be written and read again instead of fitting anew."""
+        used = np.flatnonzero(self.weights)
+        rows = [("weight", int(i), float(self.weights[i])) for i in used] + [("move", i, float(x)) for i, x in enumerate(self.moves.ravel())]
+        return spark.createDataFrame(rows, "kind string, at int, value double")
+
+    @staticmethod
+    def of(frame: DataFrame) -> Field:
+        """The field of a frame; it has at most ``SIZE`` weights."""
+        weights, moves = np.zeros(SIZE), np.zeros(4)
+        for r in frame.collect():
+            (weights if r.kind == "weight" else moves)[r["at"]] = r.value
+        return Field(weights, moves.reshape(2, 2))
+
     def scores(self, features: list[list[int]]) -> np.ndarray:
         ends = np.cumsum([len(f) for f in features])
         flat = np.concatenate([[0.0], np.cumsum(self.weights[np.fromiter((x for f in features for x in f), dtype=np.int64, count=int(ends[-1]))])])

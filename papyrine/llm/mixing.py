@@ -17,6 +17,7 @@ empty table gives an empty mix. Repeated keys are one record.
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import pandas as pd
@@ -43,9 +44,12 @@ def sainte_lague(weights: list[float], seats: int, caps: list[int] | None = None
     w = [Fraction(x) if x > 0 else Fraction(0) for x in weights]
     if not seats or not any(w):
         return [0] * n
+    unit = math.lcm(*{x.denominator for x in w})
+    whole = [x.numerator * (unit // x.denominator) for x in w]  # the weights as whole numbers of 1 / unit
 
     def given(price: Fraction) -> list[int]:  # quotients above the price
-        return [min(c, max(0, -((-(x / price - 1)) // 2))) if x else 0 for x, c in zip(w, caps)]
+        num, den = price.numerator * unit, price.denominator
+        return [min(c, max(0, -((num - x * den) // (2 * num)))) if x else 0 for x, c in zip(whole, caps)]
 
     low, high = min(x for x in w if x) / (4 * seats + 4), max(w) * 2
     for _ in range(200):

@@ -192,6 +192,8 @@ def test_main_body(spark, prose):
     assert got[91].furniture == [] and got[3].content.startswith("# Title 3")
     assert main_body.labelled(contents.limit(0), pages, field).count() == 0
     assert main_body.train([]).decode([0.0, -1.0]) == [0, 0]
+    again = main_body.Field.of(field.frame(spark))
+    assert (again.weights == field.weights).all() and (again.moves == field.moves).all()
 
 
 def test_chain_marginals():
