@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.functions.hosts import host_of
@@ -39,6 +39,8 @@ from papyrine.plans.session import cut_lineage
 SHARED, LEAST_PAGES = 0.02, 2
 #: Parts in which the frames of a host grow.
 BUCKETS = 64
+#: What all hosts share, and all templates, are broadcast up to this size.
+BROADCAST_BYTES = 32_000_000
 #: Cells of a table that are kept at once; of a larger one only some rows are, and the others made again, which changes no result.
 WIDEST = 250_000
 #: Weights of subtree pairs remembered; the memory is emptied when full, which changes no result.
@@ -357,6 +359,12 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=["page_id", "slots"])
 
 
+def _small(df: DataFrame, size: Column) -> DataFrame:
+    """Broadcast if its rows have at most ``BROADCAST_BYTES`` in all, or else joined by shuffle."""
+    held = df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).head().n
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
+
+
 def _sorted(df: DataFrame) -> DataFrame:
     return df.repartition("host", "part").sortWithinPartitions("host", "part", F.xxhash64("frame"), "frame").select("host", "part", "frame", "times")
 
@@ -368,10 +376,11 @@ def page_slots(pages: DataFrame) -> DataFrame:
     seen = own.select("host", "nodes").mapInArrow(_texts, "host string, sign bigint, on bigint").groupBy("host", "sign").agg(F.sum("on").alias("on"))
     shared = seen.filter(F.col("on") >= LEAST_PAGES).join(needed, "host").filter(F.col("on") >= F.col("needed"))
     shared = cut_lineage(shared.groupBy("host").agg(F.first("needed").alias("needed"), F.array_sort(F.collect_list("sign")).alias("signs")))  # two branches read it
+    shared = _small(shared, F.size("signs") * 8)
     frames = own.join(shared, "host").select("host", "nodes", "signs").mapInArrow(_frames, "host string, frame string")
     equal = frames.groupBy("host", "frame").agg(F.count(F.lit(1)).alias("times"))
     parts = _sorted(equal.withColumn("part", F.pmod(F.xxhash64("frame"), F.lit(BUCKETS)).cast("int"))).mapInArrow(_grown, "host string, part int, frame string")
     whole = parts.withColumns({"times": F.lit(None).cast("bigint"), "at": F.col("part"), "part": F.lit(0)}).repartition("host").sortWithinPartitions("host", "at").select("host", "part", "frame", "times")
-    template = whole.mapInArrow(_grown, "host string, part int, frame string").join(shared.select("host", "needed"), "host").select("host", F.col("frame").alias("template"), "needed")
-    made = own.join(template, "host", "left").select("page_id", "host", "nodes", "texts", "template", "needed")
+    template = cut_lineage(whole.mapInArrow(_grown, "host string, part int, frame string").join(shared.select("host", "needed"), "host").select("host", F.col("frame").alias("template"), "needed"))
+    made = own.join(_small(template, F.length("template")), "host", "left").select("page_id", "host", "nodes", "texts", "template", "needed")
     return made.mapInArrow(_slots, "page_id bigint, slots array<string>")

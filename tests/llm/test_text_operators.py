@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from papyrine.llm import languages, lookalikes, main_body, markup, mixing, splitting, tokenizing
 
-SAMPLES_OF_SCRIPTS = ["signal letter window council market we see a cop there", "сигнал письмо окно совет рынок мы видим сор и пар на поле", None]
+SAMPLES_OF_SCRIPTS = ["signal letter window council market we see a cop there and then the river was near", "сигнал письмо окно совет рынок мы видим сор и пар на поле", None]
 needs_tokenizer = pytest.mark.skipif(not os.path.exists(f"{tokenizing.TOKENIZER_DIR}/{tokenizing.TOKENIZER}.json"), reason="no tokenizer files")
 
 
@@ -85,12 +85,26 @@ def test_swapping_shapes_changes_nothing(reader, text, r):
     assert reader.normal(text) == reader.normal(swapped)
 
 
+@settings(max_examples=200, deadline=None)
+@given(text=st.text(alphabet="acehiopsxy ABCTXmté.", max_size=40))
+def test_short_cut_is_the_search(reader, text):
+    """Where the search is left out, it would have left the text as it is."""
+    import unicodedata
+
+    words = reader.split(unicodedata.normalize("NFD", text))[1::2]
+    assert reader.latin_first
+    if reader.latin_stays(text):
+        assert reader.chosen(words) == words
+
+
 def test_same_looking_pairs(spark, reader):
     rows = [("c", 1, "market \u0430"), ("c", 2, "market a"), ("c", 2, "market a"), ("c", 3, "Market a"), ("c", 4, None), ("c", 5, None), ("k", 2, "market \u0430"), ("c", 6, "market a"), ("c", 7, ""), ("c", 8, "")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "tbl string, id bigint, text string, form string")
     got = {tuple(r) for r in lookalikes.same_looking(df, reader.fitted).collect()}
     assert got == {("c", 1, 2), ("c", 1, 6)}
     assert lookalikes.same_looking(df.limit(0), reader.fitted).count() == 0
+    classes = {tuple(r) for r in lookalikes.look_classes(df, reader.fitted).collect()}
+    assert classes == {("c", 1, 1, 2), ("c", 2, 1, 1), ("c", 6, 1, 1)} and lookalikes.look_classes(df.limit(0), reader.fitted).count() == 0
 
 
 # splitting
