@@ -20,11 +20,11 @@ def operators(**options) -> dict[str, tuple[Callable[[Column], Column], str]]:
     """Operator and name of its input, by operator name; ``options`` are option objects by operator name."""
     own = lambda name, default: options.get(name, default)
     removals = own("apply_dom_removals_to_html", ((), ()))
-    arrays = [F.array(*map(F.lit, x)).cast("array<string>") for x in removals]
+    arrays = lambda: [F.array(*map(F.lit, x)).cast("array<string>") for x in removals]
     return {
         "sanitize_rss_html": (lambda c: rss.sanitize_rss_html(c, own("sanitize_rss_html", rss.RssOptions())), "HTML"),
         "html_to_embedding_text": (extract.html_to_embedding_text, "HTML"),
-        "apply_dom_removals_to_html": (lambda c: extract.apply_dom_removals(c, *arrays), "HTML"),
+        "apply_dom_removals_to_html": (lambda c: extract.apply_dom_removals(c, *arrays()), "HTML"),
         "get_content_from_html": (lambda c: extract.get_content_from_html(c, own("get_content_from_html", extract.ConvertOptions())), "HTML"),
         "sanitize_rss_content": (prompt.sanitize_rss_content, "HTML"),
         "sanitize_prompt_injection": (lambda c: injection.sanitize_prompt_injection(c, own("sanitize_prompt_injection", False)), "content"),
