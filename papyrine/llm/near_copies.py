@@ -8,9 +8,10 @@ Records of equal trigram sets are one representative; all that follows is done o
    similarity 0.5 share half of these on average, never (4 standard deviations of a
    draw without return) fewer than ``shared_least``; so each needs only its rarest
    ones, up to the last of which such a partner must hold one (prefix filter). The
-   trigrams left out are the commonest: what a site puts into all its records is
-   compared only for records of which it makes more than a quarter. Trigrams of one
-   record end here.
+   trigrams left out are the commonest. Trigrams of one record end here. Records that
+   still need a trigram of more than ``REFINED`` records, since a site's furniture is a
+   large part of them, are asked again among themselves with all their trigrams, where
+   the rarer half, plus one, must hold a shared one without any doubt.
 2. Bit-sliced comparison: the records of one trigram lie in blocks, sorted, each with
    ``BITS`` one-bit min-hashes. Plane b holds bit b of all records of a block; a plane
    XOR itself shifted by o compares every record with the o-th after it at once.
@@ -42,6 +43,8 @@ LEAST_WORDS = 50
 SIMILARITY = 0.5
 SAMPLE = 64
 BITS = 256
+#: A sampled trigram that more records need is not compared for; those records are asked again with all their trigrams.
+REFINED = 32
 #: Records of a sub-block; a trigram with more records is divided.
 SUB_BLOCK = 1024
 #: Ids of representatives and of records to be checked are broadcast up to this many (8 and 24 bytes each), joined by shuffle beyond.
@@ -212,24 +215,40 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
-def candidate_blocks(features: DataFrame) -> DataFrame:
-    """``gram, i, j, id, sketch``: representatives that hold a trigram both need, in pairs of sub-blocks."""
-    # the rarest sampled trigrams of each record that another record has too
-    each = features.select("id", F.explode("sample").alias("gram"))
+def _rarest(each: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``id, gram``: of ``id, gram`` the rarest that another record has too, up to the ``prefix`` of ``id, prefix, k``."""
     counts = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sizes = features.select("id", "prefix", F.size("sample").alias("k")).distinct()
     mine = each.join(counts, "gram").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("n", "gram"))).alias("grams")).join(sizes, "id")
     # grams of one record come first in the order by rarity and use up the prefix
     free = F.col("prefix") - (F.col("k") - F.size("grams"))
-    kept = cut_lineage(mine.filter(free > 0).select("id", F.explode(F.slice("grams", F.lit(1), free)).alias("x")).select("id", F.col("x.gram").alias("gram")))
+    return mine.filter(free > 0).select("id", F.explode(F.slice("grams", F.lit(1), free)).alias("x")).select("id", F.col("x.gram").alias("gram"))
+
 
-    # groups of the same members are compared once
-    groups = kept.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members")).filter("n > 1")
-    groups = groups.groupBy("n", "members").agg(F.min("gram").alias("gram"))
+def _placed(kept: DataFrame, groups: DataFrame) -> DataFrame:
+    """``gram, i, j, id``: the members of groups in pairs of sub-blocks; groups of the same members are taken once."""
+    once = groups.groupBy("n", "members").agg(F.min("gram").alias("gram"))
     parts = F.ceil(F.col("n") / SUB_BLOCK).cast("int")
-    placed = kept.join(groups, "gram").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    placed = kept.join(once, "gram").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    placed = placed.select("gram", "id", "part", others.alias("other")).select("gram", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id")
+    return placed.select("gram", "id", "part", others.alias("other")).select("gram", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id")
+
+
+def _groups(kept: DataFrame) -> DataFrame:
+    return kept.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members")).filter("n > 1")
+
+
+def candidate_blocks(features: DataFrame, own: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``gram, i, j, id, sketch``: representatives that hold a trigram both need, in pairs of sub-blocks."""
+    kind = own.schema["id"].dataType.simpleString()
+    kept = cut_lineage(_rarest(features.select("id", F.explode("sample").alias("gram")), features.select("id", "prefix", F.size("sample").alias("k")).distinct()))
+    groups = cut_lineage(_groups(kept))
+    placed = _placed(kept, groups.filter(F.col("n") <= REFINED))
+    # a pair that shares only trigrams of large groups is in them with both records: these are asked again with all their trigrams
+    crowded = cut_lineage(kept.join(groups.filter(F.col("n") > REFINED).select("gram"), "gram").select("id").distinct())
+    whole = cut_lineage(own.join(_small(crowded), "id", "left_semi").mapInArrow(_grams, f"id {kind}, grams array<bigint>").dropDuplicates(["id"]))
+    prefix = F.size("grams") - F.ceil(F.size("grams") * F.lit(similarity)) + 1
+    again = cut_lineage(_rarest(whole.select("id", F.explode("grams").alias("gram")), whole.select("id", prefix.alias("prefix"), F.size("grams").alias("k"))))
+    placed = placed.unionByName(_placed(again, _groups(again)))
     return placed.join(features.select("id", "sketch").distinct(), "id").select("gram", "i", "j", "id", "sketch")
 
 
@@ -245,7 +264,7 @@ def similar_classes(df: DataFrame, key: str = "content_id", title: str = "title"
     features = every.join(kept, ["id", "set"], "left_semi")  # rows of one key are equal here
 
     # 1. candidates, 2. bit-sliced comparison
-    blocks = candidate_blocks(features).repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "id")
+    blocks = candidate_blocks(features, own, similarity).repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "id")
     near = cut_lineage(blocks.mapInArrow(_compare(radius(similarity)), f"a {kind}, b {kind}").distinct())
 
     # 3. exact similarity

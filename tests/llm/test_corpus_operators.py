@@ -171,6 +171,24 @@ def test_divided_groups_lose_no_pair(spark, prose, monkeypatch):
     assert {tuple(r) for r in near_copies.linked_classes(same).collect()} == {(i, 0, 22) for i in range(23)}
 
 
+@pytest.mark.parametrize("furniture", [24, 60, 120])
+def test_crowded_groups_lose_no_pair(spark, prose, monkeypatch, furniture):
+    """Records whose site's furniture is a fifth to a half of them are asked again, and all pairs are found."""
+    monkeypatch.setattr(near_copies, "REFINED", 2)
+    monkeypatch.setattr(near_copies, "SUB_BLOCK", 5)
+    r = random.Random(furniture)
+    bar, rows = prose(999, furniture), []
+    for i in range(40):
+        words = prose(i % 15, 120).split(" ")
+        for _ in range(r.randint(0, 12)):
+            words[r.randrange(len(words))] = f"name{r.randint(0, 999)}"
+        rows.append((i, None, f"{bar}\n{' '.join(words)}"))
+    sets = {i: grams(t, x) for i, t, x in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame(rows, "content_id bigint, title string, content string")
+    assert {(x.a, x.b) for x in near_copies.similar_pairs(df).collect()} == want and len(want) > 20
+
+
 def test_bit_sliced_distances():
     r = np.random.default_rng(5)
     n, bits = 70, near_copies.BITS
