@@ -37,6 +37,8 @@ _TAG = re.compile(
     r"|(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+|[\"'])*+)>)",
     re.S,
 )
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+_REOPENING = ENDS_PARAGRAPH | FORMATTING
 _ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _REFERENCE = re.compile(r"&(?:#[xX]([0-9a-fA-F]+);?|#([0-9]+);?|([A-Za-z][A-Za-z0-9]*;?))")
 
@@ -44,10 +46,17 @@ _REFERENCE = re.compile(r"&(?:#[xX]([0-9a-fA-F]+);?|#([0-9]+);?|([A-Za-z][A-Za-z
 class Node:
     """An element (``tag``), a text (``tag`` '#text') or a comment ('#comment')."""
 
-    __slots__ = ("tag", "attrs", "children", "parent", "text")
+    __slots__ = ("tag", "_attrs", "children", "parent", "text")
 
-    def __init__(self, tag: str, attrs: dict[str, str] | None = None, text: str = ""):
-        self.tag, self.attrs, self.children, self.parent, self.text = tag, attrs or {}, [], None, text
+    def __init__(self, tag: str, attrs: dict[str, str] | str | None = None, text: str = ""):
+        self.tag, self._attrs, self.children, self.parent, self.text = tag, attrs, [], None, text
+
+    @property
+    def attrs(self) -> dict[str, str]:
+        """Attributes in order; their source is read when they are first asked for."""
+        if type(self._attrs) is not dict:
+            self._attrs = attributes(self._attrs) if self._attrs else {}
+        return self._attrs
 
     def append(self, child: Node) -> Node:
         child.parent = self
@@ -121,16 +130,17 @@ def parse(source: str, fragment: bool = True) -> Node:
     source = source.replace("\r\n", "\n").replace("\r", "\n")
     root = Node("#root")
     stack = [root]
-    opened: dict[str, int] = {}  # open elements by tag, so deep trees are not searched in vain
+    where: dict[str, list[int]] = {}  # places of open elements in the stack by tag, so deep trees are never searched
+    pieces: list[str] = []  # text not yet in the tree
     at, size = 0, len(source)
 
     def push(n: Node) -> None:
+        where.setdefault(n.tag, []).append(len(stack))
         stack.append(n)
-        opened[n.tag] = opened.get(n.tag, 0) + 1
 
     def pop() -> Node:
         n = stack.pop()
-        opened[n.tag] -= 1
+        where[n.tag].pop()
         return n
 
     def cut(k: int) -> None:
@@ -138,36 +148,39 @@ def parse(source: str, fragment: bool = True) -> Node:
             pop()
 
     def text(value: str) -> None:
-        if not value:
-            return
-        top = stack[-1]
-        if top.children and top.children[-1].tag == "#text":
-            top.children[-1].text += value
-        else:
-            top.append(Node("#text", text=value))
+        if value:
+            pieces.append(value)
+
+    def settle() -> None:
+        """Put the text read so far into the tree, as one node with a text before it."""
+        if pieces:
+            top, value = stack[-1], "".join(pieces)
+            pieces.clear()
+            if top.children and top.children[-1].tag == "#text":
+                top.children[-1].text += value
+            else:
+                top.append(Node("#text", text=value))
 
-    def close_to(tags: tuple[str, ...], scope: tuple[str, ...] = ()) -> None:
-        """Close up to the nearest of the tags that is open inside the scope."""
-        if not any(opened.get(t) for t in tags):
-            return
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                cut(k)
-                return
-            if stack[k].tag in scope or stack[k].tag == "table" and "table" not in tags:
-                return
+    def nearest(tags: tuple[str, ...]) -> int:
+        return max([w[-1] for t in tags if (w := where.get(t))], default=0)
+
+    def close_to(tags: tuple[str, ...], scope: tuple[str, ...]) -> bool:
+        """Close up to the nearest of the tags, if it is open inside the scope and its table."""
+        k = nearest(tags)
+        if not k or k < nearest(scope) or "table" not in tags and k < nearest(("table",)):
+            return False
+        cut(k)
+        return True
 
     def end(tag: str) -> None:
-        if not opened.get(tag):
-            if tag == "p":
-                stack[-1].append(Node("p"))
-            elif tag == "br":
-                stack[-1].append(Node("br"))
+        if not where.get(tag):
+            if tag in ("p", "br"):
+                stack[-1].append(Node(tag))
             return
         again = []
         while stack[-1].tag != tag:
             n = pop()
-            if n.tag in FORMATTING and tag in ENDS_PARAGRAPH | FORMATTING:
+            if n.tag in FORMATTING and tag in _REOPENING:
                 again.append(n)
         pop()
         for n in reversed(again):
@@ -190,33 +203,36 @@ def parse(source: str, fragment: bool = True) -> Node:
             text(decode_text(source[at:nxt]))
             at = nxt
             continue
-        text(decode_text(source[at:lt]))
+        if lt > at:
+            text(decode_text(source[at:lt]))
         at = m.end()
-        if m["comment"] is not None:
-            stack[-1].append(Node("#comment", text=re.sub(r"(--!?>|-?>)\Z", "", m["comment"][3:])))
+        comment, bogus, closing, tag, attrs = m.groups()
+        if bogus is not None:
             continue
-        if m["bogus"] is not None:
+        settle()
+        if comment is not None:
+            stack[-1].append(Node("#comment", text=re.sub(r"(--!?>|-?>)\Z", "", comment[3:])))
             continue
-        tag = m["name"].lower()
+        tag = tag.lower()
         if tag in ("html", "head", "body"):
             if fragment:
                 continue
             page = stack[1] if len(stack) > 1 and stack[1].tag == "html" else root
-            if m["close"]:
+            if closing:
                 if tag == "head":
                     cut(1 + (page is not root))
                 continue
             held = root.find(tag) if tag == "html" else next((n for n in page.children if n.tag == tag), None)
             if held is None:
                 cut(1 if tag == "html" else 1 + (page is not root))
-                push(stack[-1].append(Node(tag, attributes(m["attrs"]))))
+                push(stack[-1].append(Node(tag, attrs)))
             else:
-                for k, v in attributes(m["attrs"]).items():
+                for k, v in attributes(attrs).items():
                     held.attrs.setdefault(k, v)
             continue
-        if m["close"]:
-            if tag in HEADINGS and not opened.get(tag):
-                tag = next((n.tag for n in reversed(stack[1:]) if n.tag in HEADINGS), tag)
+        if closing:
+            if tag in HEADINGS and not where.get(tag) and (k := nearest(HEADINGS)):
+                tag = stack[k].tag
             end(tag)
             continue
         if tag in ENDS_PARAGRAPH:
@@ -224,28 +240,26 @@ def parse(source: str, fragment: bool = True) -> Node:
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
             pop()
         if tag in _IMPLIED:
-            close_to_all = _IMPLIED[tag]
             for _ in range(3):
-                before = len(stack)
-                close_to(close_to_all, _SCOPE.get(tag, ("table",)))
-                if len(stack) == before:
+                if not close_to(_IMPLIED[tag], _SCOPE.get(tag, ("table",))):
                     break
-        if tag == "a" and opened.get("a"):
+        if tag == "a" and where.get("a"):
             end("a")
         if tag == "tr" and stack[-1].tag == "table":
             push(stack[-1].append(Node("tbody")))
-        node = stack[-1].append(Node(tag, attributes(m["attrs"])))
-        foreign = opened.get("svg") or opened.get("math")
-        if tag in VOID or (foreign and m["attrs"].endswith("/")):
+        node = stack[-1].append(Node(tag, attrs))
+        foreign = where.get("svg") or where.get("math")
+        if tag in VOID or (foreign and attrs.endswith("/")):
             continue
         if tag in RAW and not foreign:
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            stop = _RAW_END[tag].search(source, at)
             inner = source[at : stop.start() if stop else size]
             if inner:
                 node.append(Node("#text", text=decode_text(inner) if tag in DECODED_RAW else inner))
             at = stop.end() if stop else size
             continue
         push(node)
+    settle()
     return root
 
 
