@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import sys
 import unicodedata
 from collections import Counter
@@ -41,12 +42,22 @@ SHARED, LEAST_PAGES = 0.02, 2
 BUCKETS = 64
 #: What all hosts share, and all templates, are broadcast up to this size.
 BROADCAST_BYTES = 32_000_000
+_SIGNS = re.compile("[^0-9a-z]+")
+#: Nodes and texts of templates that a worker keeps loaded.
+KEPT_NODES = 500_000
 #: Cells of a table that are kept at once; of a larger one only some rows are, and the others made again, which changes no result.
 WIDEST = 250_000
 #: Weights of subtree pairs remembered; the memory is emptied when full, which changes no result.
 REMEMBERED = 200_000
 
 
+def key_of(text: str) -> str:
+    """The text by which nodes are compared: case, accents and spacing make no difference."""
+    if text.isascii():
+        return _SIGNS.sub("", text.lower()) or text
+    return "".join(filter(str.isalnum, unicodedata.normalize("NFKD", text).casefold())) or text
+
+
 class Tree:
     """Elements with text, in document order, with their own text and children."""
 
@@ -64,127 +75,144 @@ class Tree:
                 continue
             me = len(self.tags)
             self.tags.append(n.tag)
-            text = collapse(" ".join(c.text for c in n.children if c.tag == "#text"))
+            parts = [c.text for c in n.children if c.tag == "#text"]
+            text = collapse(" ".join(parts)) if parts else ""
             self.texts.append(text)
-            self.keys.append("".join(filter(str.isalnum, unicodedata.normalize("NFKD", text).casefold())) or text)  # case, accents and spacing make no difference
+            self.keys.append(key_of(text) if text else "")
             self.children.append([])
             (self.children[up] if up >= 0 else self.roots).append(me)
-            stack.extend((c, me) for c in reversed(n.children))
-        self.sizes = [1] * len(self.tags)
-        for i in range(len(self.tags) - 1, -1, -1):
-            self.sizes[i] += sum(self.sizes[c] for c in self.children[i])
+            if n.children:
+                stack.extend([(c, me) for c in reversed(n.children) if c.tag != "#text"])
 
 
-def tree_match(a: Tree | Frame, b: Tree | Frame) -> dict[int, int]:
-    """Nodes of ``a`` and the nodes of ``b`` they match, by simple tree matching: exact for lists of any width."""
-    ids: dict[tuple, int] = {}
-    codes: dict[str, int] = {}
-    whole: list[float] = []  # weight of a subtree and its equal, which no other pair exceeds
+class Matcher:
+    """Simple tree matching of one tree with others; weights of pairs of subtrees are remembered from one to the next."""
 
-    def read(t: Tree | Frame) -> tuple[list[int], list[int], list[int], int]:
+    def __init__(self, a: Tree | Frame):
+        self.ids: dict[tuple, int] = {}
+        self.codes: dict[str, int] = {"": 0}
+        self.whole: list[float] = []  # weight of a subtree and its equal, which no other pair exceeds
+        self.known: dict[tuple[int, int], float] = {}
+        self.a = a
+        self.read_a = self.read(a)
+
+    def read(self, t: Tree | Frame) -> tuple[list[int], list[int], list[int], int]:
+        """Kinds of subtrees, codes of tags and of texts (0 for none), and the depth."""
+        ids, whole, codes = self.ids, self.whole, self.codes
         kinds = [0] * len(t.tags)
         depth = [1] * len(t.tags)
         for i in range(len(t.tags) - 1, -1, -1):
-            own = tuple([kinds[c] for c in t.children[i]])
-            kinds[i] = ids.setdefault((t.tags[i], t.keys[i], own), len(ids))
-            if kinds[i] == len(whole):
-                whole.append(1 + (0.5 if t.keys[i] else 0) + sum(whole[k] for k in own))
-            depth[i] += max((depth[c] for c in t.children[i]), default=0)
+            children = t.children[i]
+            own = tuple([kinds[c] for c in children])
+            kind = kinds[i] = ids.setdefault((t.tags[i], t.keys[i], own), len(ids))
+            if kind == len(whole):
+                whole.append(1 + (0.5 if t.keys[i] else 0) + sum([whole[k] for k in own]))
+            if children:
+                depth[i] += max([depth[c] for c in children])
         return kinds, [codes.setdefault(x, len(codes)) for x in t.tags], [codes.setdefault(x, len(codes)) for x in t.keys], max(depth, default=0)
 
-    ka, ta, sa, deep = read(a)
-    kb, tb, sb, _ = read(b)
-    none = codes.get("", -1)
-    tags, keys, inner = np.array(tb, int), np.array([-1 if s == none else s for s in sb], int), np.array([bool(c) for c in b.children], bool)
-    known: dict[tuple[int, int], float] = {}
-
-    def trim(xs: list[int], ys: list[int]) -> tuple[int, int]:
-        """Lengths of the equal start and of the equal end: matching them is best."""
-        n, k, e = min(len(xs), len(ys)), 0, 0
-        while k < n and ka[xs[k]] == kb[ys[k]]:
-            k += 1
-        while e < n - k and ka[xs[-1 - e]] == kb[ys[-1 - e]]:
-            e += 1
-        return k, e
-
-    def pair(x: int, y: int) -> float:
-        if ta[x] != tb[y]:
-            return 0
-        if ka[x] == kb[y]:
-            return whole[ka[x]]
-        weight = 1.5 if sa[x] == sb[y] != none else 1
-        if not a.children[x] or not b.children[y]:
-            return weight
-        if (found := known.get((ka[x], kb[y]))) is None:
-            xs, ys = a.children[x], b.children[y]
-            k, e = trim(xs, ys)
-            found = weight + sum([whole[ka[x]] for x in (*xs[:k], *xs[len(xs) - e :])])
-            row, ys = [0] * (len(ys) - k - e + 1), ys[k : len(ys) - e]
-            if ys:
-                for z in xs[k : len(xs) - e]:
-                    row = after(row, z, ys)
-                found += float(row[-1])
-            if len(known) >= REMEMBERED:
-                known.clear()
-            known[ka[x], kb[y]] = found
-        return found
-
-    def after(row, x: int, ys: list[int]):
-        """The next row of the table: best weights of the list up to ``x`` with each start of ``ys``."""
-        if len(ys) < 64:
-            out = [0]
-            for j, y in enumerate(ys):
-                out.append(max(row[j + 1], out[j], row[j] + pair(x, y)))
-            return out
-        at = np.array(ys)
-        same = tags[at] == ta[x]
-        w = np.where(same, np.where(keys[at] == sa[x], 1.5, 1.0), 0.0)
-        if a.children[x]:
-            for j in np.flatnonzero(same & inner[at]):
-                w[j] = pair(x, ys[j])
-        row = np.asarray(row, float)
-        return np.concatenate([[0.0], np.maximum.accumulate(np.maximum(row[1:], row[:-1] + w))])
-
-    out: dict[int, int] = {}
-    stack = [(a.roots, b.roots)]
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, limit + 3 * deep))
-    try:
-        while stack:
-            xs, ys = stack.pop()
-            if not xs or not ys:
-                continue
-            k, e = trim(xs, ys)
-            pairs = [*zip(xs[:k], ys[:k]), *zip(xs[len(xs) - e :], ys[len(ys) - e :])]
-            xs, ys = xs[k : len(xs) - e], ys[k : len(ys) - e]
-            # every row of the table, or of a large one each ``gap``-th; those between are made again
-            gap = 1 if len(xs) * len(ys) <= WIDEST else math.isqrt(len(xs)) + 1
-            i, j, row = len(xs), len(ys), [0] * (len(ys) + 1)
-            kept, made = {0: row}, {}
-            for n, x in enumerate(xs if ys else (), 1):
-                row = after(row, x, ys)
-                if n % gap == 0:
-                    kept[n] = row
-            while i and j:
-                if gap > 1 and (i not in made or i - 1 not in made):
-                    n = (i - 1) // gap * gap
-                    made = {n: kept[n]}
-                    for m in range(n + 1, i + 1):
-                        made[m] = after(made[m - 1], xs[m - 1], ys)
-                rows = made if gap > 1 else kept
-                if rows[i][j] == rows[i - 1][j]:
-                    i -= 1
-                elif rows[i][j] == rows[i][j - 1]:
-                    j -= 1
-                else:
-                    pairs.append((xs[i - 1], ys[j - 1]))
-                    i, j = i - 1, j - 1
-            for x, y in pairs:
-                out[x] = y
-                stack.append((a.children[x], b.children[y]))
-    finally:
-        sys.setrecursionlimit(limit)
-    return out
+    def match(self, b: Tree | Frame) -> dict[int, int]:
+        """Nodes of the tree and the nodes of ``b`` they match: exact for lists of any width."""
+        a, whole, known, none = self.a, self.whole, self.known, 0
+        ka, ta, sa, deep = self.read_a
+        kb, tb, sb, _ = self.read(b)
+        arrays: list = []
+
+        def trim(xs: list[int], ys: list[int]) -> tuple[int, int]:
+            """Lengths of the equal start and of the equal end: matching them is best."""
+            n, k, e = min(len(xs), len(ys)), 0, 0
+            while k < n and ka[xs[k]] == kb[ys[k]]:
+                k += 1
+            while e < n - k and ka[xs[-1 - e]] == kb[ys[-1 - e]]:
+                e += 1
+            return k, e
+
+        def pair(x: int, y: int) -> float:
+            if ta[x] != tb[y]:
+                return 0
+            if ka[x] == kb[y]:
+                return whole[ka[x]]
+            weight = 1.5 if sa[x] == sb[y] != none else 1
+            if not a.children[x] or not b.children[y]:
+                return weight
+            if (found := known.get((ka[x], kb[y]))) is None:
+                xs, ys = a.children[x], b.children[y]
+                k, e = trim(xs, ys)
+                found = weight + sum([whole[ka[x]] for x in (*xs[:k], *xs[len(xs) - e :])])
+                row, ys = [0] * (len(ys) - k - e + 1), ys[k : len(ys) - e]
+                if ys:
+                    for z in xs[k : len(xs) - e]:
+                        row = after(row, z, ys)
+                    found += float(row[-1])
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[ka[x], kb[y]] = found
+            return found
+
+        def after(row, x: int, ys: list[int]):
+            """The next row of the table: best weights of the list up to ``x`` with each start of ``ys``."""
+            if len(ys) < 64:
+                out = [0]
+                for j, y in enumerate(ys):
+                    out.append(max(row[j + 1], out[j], row[j] + pair(x, y)))
+                return out
+            if not arrays:
+                arrays[:] = np.array(tb, int), np.array([-1 if s == none else s for s in sb], int), np.array([bool(c) for c in b.children], bool)
+            tags, keys, inner = arrays
+            at = np.array(ys)
+            same = tags[at] == ta[x]
+            w = np.where(same, np.where(keys[at] == sa[x], 1.5, 1.0), 0.0)
+            if a.children[x]:
+                for j in np.flatnonzero(same & inner[at]):
+                    w[j] = pair(x, ys[j])
+            row = np.asarray(row, float)
+            return np.concatenate([[0.0], np.maximum.accumulate(np.maximum(row[1:], row[:-1] + w))])
+
+        out: dict[int, int] = {}
+        stack = [(a.roots, b.roots)]
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(limit, limit + 3 * deep))
+        try:
+            while stack:
+                xs, ys = stack.pop()
+                if not xs or not ys:
+                    continue
+                k, e = trim(xs, ys)
+                pairs = [*zip(xs[:k], ys[:k]), *zip(xs[len(xs) - e :], ys[len(ys) - e :])]
+                xs, ys = xs[k : len(xs) - e], ys[k : len(ys) - e]
+                # every row of the table, or of a large one each ``gap``-th; those between are made again
+                gap = 1 if len(xs) * len(ys) <= WIDEST else math.isqrt(len(xs)) + 1
+                i, j, row = len(xs), len(ys), [0] * (len(ys) + 1)
+                kept, made = {0: row}, {}
+                for n, x in enumerate(xs if ys else (), 1):
+                    row = after(row, x, ys)
+                    if n % gap == 0:
+                        kept[n] = row
+                while i and j:
+                    if gap > 1 and (i not in made or i - 1 not in made):
+                        n = (i - 1) // gap * gap
+                        made = {n: kept[n]}
+                        for m in range(n + 1, i + 1):
+                            made[m] = after(made[m - 1], xs[m - 1], ys)
+                    rows = made if gap > 1 else kept
+                    if rows[i][j] == rows[i - 1][j]:
+                        i -= 1
+                    elif rows[i][j] == rows[i][j - 1]:
+                        j -= 1
+                    else:
+                        pairs.append((xs[i - 1], ys[j - 1]))
+                        i, j = i - 1, j - 1
+                for x, y in pairs:
+                    out[x] = y
+                    stack.append((a.children[x], b.children[y]))
+        finally:
+            sys.setrecursionlimit(limit)
+        return out
+
+
+def tree_match(a: Tree | Frame, b: Tree | Frame) -> dict[int, int]:
+    """Nodes of ``a`` and the nodes of ``b`` they match, by simple tree matching."""
+    return Matcher(a).match(b)
 
 
 def _pages(pages: DataFrame) -> DataFrame:
@@ -314,15 +342,32 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([s for _, s in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["host", "sign", "on"])
 
 
+class _Kept(dict):
+    """What was made for each host, forgotten when it becomes large, which changes no result."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.size = 0
+
+    def make(self, host: str, make):
+        if host not in self:
+            value, size = make()
+            if self.size > KEPT_NODES:
+                self.clear()
+                self.size = 0
+            self[host] = value
+            self.size += size
+        return self[host]
+
+
 def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sets = _Kept()
     for b in batches:
-        sets: dict[str, set[int]] = {}
         hosts, nodes, signs = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
         out = []
         for i, (host, packed) in enumerate(zip(hosts, nodes)):
-            if host not in sets:
-                sets[host] = set(signs[i].as_py())
-            out.append(_frame(*_unpacked(packed), sets[host])[0].dump())
+            held = sets.make(host, lambda i=i: ((x := set(signs[i].as_py())), len(x)))
+            out.append(_frame(*_unpacked(packed), held)[0].dump())
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["host", "frame"])
 
 
@@ -342,19 +387,24 @@ def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    trees = _Kept()
+
+    def loaded(text: str) -> tuple[tuple[Matcher, set[int]], int]:
+        t = Frame.load(text)
+        return (Matcher(t), {int(k) for k in t.keys if k}), len(t.tags)
+
     for b in batches:
         out = []
-        trees: dict[str, tuple[Frame, set[int]]] = {}
         hosts, packed, texts, needs = (b.column(k).to_pylist() for k in (1, 2, 3, 5))
         for i, (host, need) in enumerate(zip(hosts, needs)):
             gone: set[int] = set()
             if need is not None:
-                if host not in trees:
-                    t = Frame.load(b.column(4)[i].as_py())
-                    trees[host] = t, {int(k) for k in t.keys if k}
-                whole, held = trees[host]
+                matcher, held = trees.make(host, lambda i=i: loaded(b.column(4)[i].as_py()))
                 own, nodes = _frame(*_unpacked(packed[i]), held)
-                gone = {nodes[y] for x, y in tree_match(whole, own).items() if whole.keys[x] and whole.pages[x] >= need}
+                whole = matcher.a
+                gone = {nodes[y] for x, y in matcher.match(own).items() if whole.keys[x] and whole.pages[x] >= need}
+                if len(matcher.ids) > REMEMBERED:
+                    trees.pop(host)
             out.append([t for j, t in enumerate(_unpacked(texts[i])) if t and j not in gone])
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=["page_id", "slots"])
 
