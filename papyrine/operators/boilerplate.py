@@ -178,10 +178,8 @@ def _sources(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     return pages.join(F.broadcast(wanted) if few else wanted, ["site", "page"]).select("site", "html", "blocks").mapInArrow(run, f"site {kind}, block bigint, html string").dropDuplicates(["site", "block"])
 
 
-def extract_dom_removals(pages: DataFrame, patterns: tuple[str, ...] = (), ratio: float = RATIO, site: str = "site_id", page: str = "page_id", html: str = "html") -> DataFrame:
-    """``site, css_selectors_to_remove, html_to_remove`` of every site with HTML, both sorted; empty arrays where nothing is shared. Pages without site or key are left out."""
-    own = pages.filter(F.col(html).isNotNull() & F.col(site).isNotNull() & F.col(page).isNotNull()).select(F.col(site).alias("site"), F.col(page).alias("page"), F.col(html).alias("html"))
-    blocks = cut_lineage(page_blocks(own, "site", "page", "html", patterns))  # pages are parsed once
+def learn(blocks: DataFrame, own: DataFrame, ratio: float = RATIO) -> DataFrame:
+    """``site, css_selectors_to_remove, html_to_remove`` from the blocks of ``page_blocks``, stored or collected from a stream, and the pages ``site, page, html`` they are of."""
     sizes = own.groupBy("site").agg(F.count_distinct("page").alias("pages"))
     seen = blocks.groupBy("site", "block").agg(F.count_distinct("page").alias("on"), F.min("page").alias("page"), F.first("selector").alias("selector"), F.max("kept").alias("kept"), F.max("named").alias("named"))
     needed = F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("pages") * ratio))
@@ -202,4 +200,11 @@ def extract_dom_removals(pages: DataFrame, patterns: tuple[str, ...] = (), ratio
     lists = named.unionByName(listed).groupBy("site").agg(F.array_sort(F.collect_set("selector")).alias("css_selectors_to_remove"), F.array_sort(F.collect_set("html")).alias("html_to_remove"))
     none = F.array().cast("array<string>")
     out = sizes.join(lists, "site", "left")
-    return out.select(F.col("site").alias(site), F.coalesce("css_selectors_to_remove", none).alias("css_selectors_to_remove"), F.coalesce("html_to_remove", none).alias("html_to_remove"))
+    return out.select("site", F.coalesce("css_selectors_to_remove", none).alias("css_selectors_to_remove"), F.coalesce("html_to_remove", none).alias("html_to_remove"))
+
+
+def extract_dom_removals(pages: DataFrame, patterns: tuple[str, ...] = (), ratio: float = RATIO, site: str = "site_id", page: str = "page_id", html: str = "html") -> DataFrame:
+    """``site, css_selectors_to_remove, html_to_remove`` of every site with HTML, both sorted; empty arrays where nothing is shared. Pages without site or key are left out."""
+    own = pages.filter(F.col(html).isNotNull() & F.col(site).isNotNull() & F.col(page).isNotNull()).select(F.col(site).alias("site"), F.col(page).alias("page"), F.col(html).alias("html"))
+    blocks = cut_lineage(page_blocks(own, "site", "page", "html", patterns))  # pages are parsed once
+    return learn(blocks, own, ratio).withColumnRenamed("site", site)

@@ -38,8 +38,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use ``spark.checkpoint.dir``; only a local session without one gets an own folder."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named is None and not spark.sparkContext.master.startswith("local"):
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="papyrine-checkpoint-"))
 

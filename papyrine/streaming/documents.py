@@ -37,7 +37,7 @@ def counts_by_window(stream: DataFrame, event_time: str, size: str, lateness: st
 
 
 def collect_blocks(stream: DataFrame, path: str, checkpoint: str, **columns: str) -> StreamingQuery:
-    """Candidate boilerplate blocks of arriving pages, appended to a table from which removals are learned in batch.
+    """Candidate boilerplate blocks of arriving pages, appended to a table from which ``boilerplate.learn`` learns removals in batch.
 
     A batch that is run again overwrites its own folder, so a lost executor or driver
     leaves no repeated blocks.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from papyrine import queries as core
+from papyrine.operators.boilerplate import learn
 from papyrine.operators.injection import sanitize_prompt_injection
 from papyrine.operators.register import register
 from papyrine.sources.documents import read_text_files, write_partitioned
@@ -70,7 +71,10 @@ def test_stream_state_and_blocks(spark, tmp_path):
     q.awaitTermination()
     assert spark.table("firsts").count() == 2
     stream.collect_blocks(stream.read_documents(spark, str(tmp_path / "in"), df.schema), str(tmp_path / "blocks"), str(tmp_path / "cp2"), site="site_id", page="page_id", html="html").awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "blocks")).select("selector").distinct().collect()[0][0] == "nav.a"
+    blocks = spark.read.parquet(str(tmp_path / "blocks"))
+    assert {r.selector for r in blocks.collect()} == {"nav.a", "p"}
+    got = learn(blocks, df.selectExpr("site_id AS site", "page_id AS page", "html")).collect()
+    assert [(r.site, r.css_selectors_to_remove, r.html_to_remove) for r in got] == [(1, ["nav.a"], [])]
     counts = stream.counts_by_window(stream.read_documents(spark, str(tmp_path / "in"), df.schema), "at", "1 day", "7 days", "site_id")
     q = counts.writeStream.format("memory").outputMode("complete").queryName("counts").option("checkpointLocation", str(tmp_path / "cp3")).trigger(availableNow=True).start()
     q.awaitTermination()
