@@ -95,10 +95,13 @@ def chunks_of(stream: Stream, seeds: np.ndarray, window: int) -> tuple[np.ndarra
     at = least_places(hashes, window)
     own = np.searchsorted(stream.ends, np.arange(len(at)), side="right")  # content of each start
     inside = np.arange(len(at)) + window + GRAM - 1 <= stream.ends[own]
-    cuts = np.unique(at[inside])
+    least = np.zeros(len(hashes), bool)
+    least[at[inside]] = True
+    cuts = np.flatnonzero(least)
     content = np.searchsorted(stream.ends, cuts, side="right")
     begin, end = cuts[:-1], cuts[1:]
-    ids = (mixed(stream.sums.spans(begin, end + GRAM) ^ seeds[content[:-1]]) >> np.uint64(8)) | ((end - begin).astype(np.uint64) << np.uint64(56))
+    known = mixed(stream.sums.spans(begin, end + GRAM) ^ seeds[content[:-1]] ^ np.uint64(window)) >> np.uint64(8)  # chunks of two windows differ
+    ids = known | ((end - begin).astype(np.uint64) << np.uint64(56))
     ids[content[:-1] != content[1:]] = 0  # no chunk goes on in the next content
     return at, cuts, ids, content[:-1]
 
@@ -112,11 +115,16 @@ def seeds_of(sites: list[str]) -> np.ndarray:
 def content_chunks(texts: list[str], sites: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The different chunks of a batch, and in how many of its contents each is."""
     stream, seeds = Stream(texts), seeds_of(sites)
-    pairs = []
-    for window in WINDOWS:
-        _, _, ids, content = chunks_of(stream, seeds, window)
-        pairs.append(np.unique(np.stack([content[ids > 0].astype(np.uint64), ids[ids > 0]]), axis=1)[1])
-    return np.unique(np.concatenate(pairs), return_counts=True)
+    made = [chunks_of(stream, seeds, window)[2:] for window in WINDOWS]
+    ids, content = (np.concatenate(x) for x in zip(*made))
+    order = np.argsort(ids, kind="stable")  # contents of one chunk stay in order, window by window
+    order = order[np.searchsorted(ids[order], 1) :]  # 0 is no chunk
+    ids, content = ids[order], content[order]
+    if not len(ids):
+        return ids, content
+    first = np.concatenate([[True], ids[1:] != ids[:-1]])
+    other = first | np.concatenate([[True], content[1:] != content[:-1]])
+    return ids[first], np.add.reduceat(other.astype(np.int64), np.flatnonzero(first))
 
 
 def line_chunks(texts: list[str], sites: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
