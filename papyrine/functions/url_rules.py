@@ -8,6 +8,8 @@ import hmac
 import html
 import re
 
+from papyrine.functions.space import trim
+
 PROXY_PREFIX = "/proxy/"
 LINK_SCHEMES = ("http", "https", "mailto", "tel")
 IMAGE_SCHEMES = ("http", "https")
@@ -68,11 +70,11 @@ def is_safe_image(url: str) -> bool:
 
 
 def is_external_http(url: str) -> bool:
-    return url.strip()[:8].lower().startswith(("http://", "https://"))
+    return trim(url)[:8].lower().startswith(("http://", "https://"))
 
 
 def is_relative(url: str) -> bool:
-    plain = url.strip()
+    plain = trim(url)
     return bool(plain) and not plain.startswith(("\\", "//", "/\\")) and ":" not in plain
 
 
@@ -81,7 +83,7 @@ def is_proxied(url: str, prefix: str) -> bool:
 
 
 def should_proxy(url: str, prefix: str) -> bool:
-    plain = url.strip()
+    plain = trim(url)
     return bool(plain) and not is_relative(plain) and not is_proxied(plain, prefix) and is_external_http(plain)
 
 
@@ -95,8 +97,8 @@ def usable_key(keys: tuple[str, ...]) -> bytes | None:
 
 def to_proxy(url: str, prefix: str, keys: tuple[str, ...] = ()) -> str:
     """prefix + unpadded URL-safe base64, with an HMAC-SHA256 of that path if a key is usable."""
-    if not url.strip() or not prefix:
+    if not trim(url) or not prefix:
         return url
-    path = prefix + base64.urlsafe_b64encode(url.strip().encode()).decode().rstrip("=")
+    path = prefix + base64.urlsafe_b64encode(trim(url).encode()).decode().rstrip("=")
     key = usable_key(tuple(keys))
     return path if key is None else f"{path}?sig={hmac.new(key, path.encode(), hashlib.sha256).hexdigest()}"

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papyrine.functions.space import collapse
+
 MIN_LENGTH = 512
 MAX_LENGTH = 2048
 BLANK = "\u200b"
@@ -47,7 +49,7 @@ class Chunk:
 
 def count_length(text: str) -> int:
     """Characters, runs of white space as one, none at the ends."""
-    return len(" ".join(text.split()))
+    return len(collapse(text))
 
 
 def length_of(c: Column) -> Column:

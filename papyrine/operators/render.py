@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from papyrine.functions.space import trim
 from papyrine.functions.url_rules import PROXY_PREFIX, is_external_http, is_safe_image, is_safe_link, should_proxy, to_proxy
 from papyrine.operators import dom
 from papyrine.operators.markdown import Md, parse
@@ -195,7 +196,7 @@ def _admin_tag(n: dom.Node, o: RenderOptions) -> str:
 
 def render(text: str, o: RenderOptions = RenderOptions()) -> str:
     html = html_of(parse(text), o)
-    return (sanitize_admin(html, o) if o.allow_html else html).strip()
+    return trim(sanitize_admin(html, o) if o.allow_html else html)
 
 
 def render_markdown_to_html(text: Column, options: RenderOptions = RenderOptions()) -> Column:

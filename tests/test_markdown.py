@@ -104,7 +104,7 @@ def test_chunk_pins():
     assert len(chunk("# Sky\n\n" + "blue " * 600, ChunkOptions(max_length=50))) == 1
     assert chunk("# Sky\n\nblue", ChunkOptions(800, 80)) and crumbs("#hash ####### seven")[0][1] == 0
     assert chunk("___CODE_BLOCK_7___ as text")[0].text == "___CODE_BLOCK_7___ as text"
-    assert [chunking.count_length(x) for x in ("sun", "sun \n\t rain", "", " \u2003 ", "é")] == [3, 8, 0, 0, 1]
+    assert [chunking.count_length(x) for x in ("sun", "sun \n\t rain", "", " \u2003 ", "é", " \x1f ")] == [3, 8, 0, 0, 1, 1]
     assert [(c.text, c.length) for c in chunk("# Sky")] == [("", 3)]
 
 
