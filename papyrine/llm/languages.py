@@ -138,7 +138,7 @@ class Reader:
         """Per line: log-likelihoods by language, and letters."""
         if len(self.memory) >= REMEMBERED:
             self.memory.clear()
-        text = self.looks.normal(_RETURNS.sub("", text))  # a letter of another script that looks the same is no sign of a language
+        text = self.looks.readable(_RETURNS.sub("", text))  # a letter of another script that looks the same is no sign of a language
         memory, place = self.memory, self.place
         rows, ends, letters, code = [], [], [], False
         for line in text.lower().split("\n"):
