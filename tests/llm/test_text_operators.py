@@ -107,6 +107,28 @@ def test_same_looking_pairs(spark, reader):
     assert classes == {("c", 1, 1, 2), ("c", 2, 1, 1), ("c", 6, 1, 1)} and lookalikes.look_classes(df.limit(0), reader.fitted).count() == 0
 
 
+def test_model_of_all_samples(spark):
+    """No sample is left out, however many there are: here those after the first 10,000 are the only ones of their script."""
+    rows = [(i, "xx", "river window" if i < 10_000 else "мы видим сор") for i in range(22_000)] + [(5, "xx", None), (5, "xx", "river"), (None, "xx", "Ａ\u0301 river"), (22_000, "xx", "")]
+    df = spark.createDataFrame(rows, "sample_id int, lang string, text string").repartition(7)
+    got, skeletons = lookalikes.model(df), lookalikes.confusables(spark)
+    assert got == lookalikes.fit([text for _, _, text in rows], skeletons)
+    assert lookalikes.Reader(got).normal("cop") == "сор"
+    assert lookalikes.model(df.limit(0)) == lookalikes.fit([], skeletons)
+
+
+def test_counts_of_parts_add_up(monkeypatch):
+    """Words held at once change no count, and counts of single samples add up to those of all."""
+    from collections import Counter
+
+    samples = [*SAMPLES_OF_SCRIPTS, "one сигнал One", "сиgнал ok 手机a"] * 3
+    whole = lookalikes.count(samples)
+    monkeypatch.setattr(lookalikes, "REMEMBERED", 2)
+    assert lookalikes.count(samples) == whole == {s: sum((lookalikes.count([x])[s] for x in samples), Counter()) for s in lookalikes.SCRIPTS}
+    assert whole["Latin"][""] == 3 * (16 + 4) and whole["Cyrillic"][""] == 3 * (12 + 1)
+    assert whole["Latin"]["手机"] == 3 and whole["Latin"]["^o"] == 3 * 3 and "gн" not in whole["Latin"] + whole["Cyrillic"]
+
+
 # splitting
 
 
